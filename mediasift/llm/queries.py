@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mediasift.llm.bpe import encode_corpus, share, token_count
 from mediasift.llm.history import replay
 from mediasift.llm.media_keys import evidence_key, trimmed, url_key
+from mediasift.llm.mixture import mix
 from mediasift.llm.percentiles import epoch_seconds, percentiles, value_counts
+from mediasift.llm.same_look import canonical, look_alikes
 from mediasift.llm.top_n import top_n_per_group
 from mediasift.session import table
 
 SECONDS = 1e-6
+VOCABULARY = os.environ.get("MEDIASIFT_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
 def _durations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +71,53 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.least("job", "first").alias("job_id_a"), F.greatest("job", "first").alias("job_id_b")).distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p2_percentiles": p2_percentiles, "p3_found": p3_found, "p4_found": p4_found}
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", share(spark, VOCABULARY))
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Sources by target share; languages (without region) and topics (kind of target) keep their proportions."""
+    vocabulary = share(spark, VOCABULARY)
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "target_id", token_count(F.col("text"), vocabulary).alias("tokens"))
+    language = F.regexp_extract(F.lower(F.trim("lang")), r"^([a-z]*)", 1)
+    topic = F.regexp_extract(F.lower(F.trim("target_id")), r"^([a-z]*)", 1)
+    return mix(documents, table(spark, sf_dir, "source_weights"), "doc_id", F.col("source"), F.col("tokens"), {"language": language, "topic": topic})
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed sources that can't reach their share: those whose raked tokens fall short of the target. The sums behind
+    that are checked exactly, in decimals, so that a rounding never decides."""
+    report = _mixture(spark, sf_dir)[1]
+    exact = F.col("tokens") * F.col("max_repeats")
+    total = F.sum("tokens").over(Window.partitionBy())
+    short = exact.cast("decimal(30,12)") < F.col("target_share").cast("decimal(18,12)") * total.cast("decimal(20,0)")
+    near = F.abs(F.col("raked_tokens") - F.col("target_tokens")) <= 1e-6 * F.col("target_tokens")
+    return report.withColumn("short", short).where(~F.col("reachable") & ~near | near & F.col("short")).select("source")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the mixture: target and actual share of each source."""
+    return _mixture(spark, sf_dir)[1].drop("raked_tokens", "target_tokens")
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture, with their number of copies."""
+    return _mixture(spark, sf_dir)[0]
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose texts differ but look the same."""
+    return look_alikes(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
+def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text in canonical form."""
+    return table(spark, sf_dir, "documents").select("doc_id", canonical(F.col("text")).alias("text"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_percentiles": p2_percentiles, "p3_found": p3_found, "p4_found": p4_found, "p7_ids": p7_ids,
+    "p8_found": p8_found, "p8_shares": p8_shares, "p8_mixture": p8_mixture, "p9_found": p9_found, "p9_canonical": p9_canonical}
 ORACLES = {
     "p2_percentiles": _P2,
     "p2_found": f"SELECT worker_id, cast(pct AS INTEGER) AS pct FROM ({_P2}) WHERE seconds > 20",
