@@ -35,16 +35,17 @@ class Raked:
 
 def _fill(w: np.ndarray, tokens: np.ndarray, cap: np.ndarray, goal: float) -> np.ndarray:
     """Weights scaled alike so that the tokens sum to goal, but none above its cap; all at their caps if that's too little."""
-    w = w.copy()
-    for _ in range(len(w) + 1):
-        free = (w < cap) & (tokens > 0)
-        now, rest = (w * tokens)[free].sum(), goal - (w * tokens)[~free].sum()
-        if not free.any() or now <= 0 or abs(rest - now) <= 1e-12 * max(goal, 1):
+    full = np.zeros(len(w), bool)
+    while not full.all():
+        now = (w * tokens)[~full].sum()
+        if now <= 0:
             break
-        w[free] = np.minimum(cap[free], w[free] * max(rest, 0) / now)
-        if (w[free] < cap[free]).all():
-            break
-    return w
+        scaled = w * (max(goal - (cap * tokens)[full].sum(), 0.0) / now)
+        over = ~full & (scaled > cap)
+        if not over.any():
+            return np.where(full, cap, scaled)
+        full |= over
+    return np.where(full, cap, w)
 
 
 def rake(cells: list[tuple], tokens: np.ndarray, shares: dict[str, float], repeats: dict[str, int], rounds: int = 200, tolerance: float = 1e-9) -> Raked:
