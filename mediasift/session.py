@@ -2,17 +2,42 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; a file or a folder of part files."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once a session: they needn't have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_mediasift", False):
+        return
+    package = Path(__file__).parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    where = f"{scratch(spark, 'code')}/mediasift.zip"
+    path = sc._jvm.org.apache.hadoop.fs.Path(where)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(packed.getvalue())
+    finally:
+        out.close()
+    sc.addPyFile(where)
+    sc._mediasift = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir; a local one only where that is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
