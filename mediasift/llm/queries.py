@@ -13,6 +13,7 @@ from mediasift.llm.media_keys import evidence_key, trimmed, url_key
 from mediasift.llm.mixture import mix
 from mediasift.llm.percentiles import epoch_seconds, percentiles, value_counts
 from mediasift.llm.same_look import canonical, look_alikes
+from mediasift.llm.similar import similar_vectors
 from mediasift.llm.top_n import top_n_per_group
 from mediasift.session import table
 
@@ -20,6 +21,21 @@ SECONDS = 1e-6
 VOCABULARY = os.environ.get("MEDIASIFT_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_vectors(table(spark, sf_dir, "index_frames").select("vec_id", "embeddings"), "vec_id", "embeddings", 64, k=10, floor=0.9)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of frames with a cosine of 0.9 or more, one among the 10 most similar of the other."""
+    near = _neighbours(spark, sf_dir)
+    return near.select(F.least("id", "neighbour").alias("vec_id_a"), F.greatest("id", "neighbour").alias("vec_id_b")).distinct()
+
+
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each frame's most similar frames, with their cosine and place."""
+    return _neighbours(spark, sf_dir).select(F.col("id").alias("vec_id"), F.col("neighbour").alias("neighbour_id"), "cosine", "pos")
+
+
 def _durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     took = epoch_seconds(F.col("processing_completed_at")) - epoch_seconds(F.col("processing_started_at"))
     return table(spark, sf_dir, "result_records").select("worker_id", F.when(took >= 0, took).alias("took"))
@@ -116,7 +132,7 @@ def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", canonical(F.col("text")).alias("text"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_percentiles": p2_percentiles, "p3_found": p3_found, "p4_found": p4_found, "p7_ids": p7_ids,
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_percentiles": p2_percentiles, "p3_found": p3_found, "p4_found": p4_found, "p7_ids": p7_ids,
     "p8_found": p8_found, "p8_shares": p8_shares, "p8_mixture": p8_mixture, "p9_found": p9_found, "p9_canonical": p9_canonical}
 ORACLES = {
     "p2_percentiles": _P2,
