@@ -5,7 +5,8 @@ the signed axis nearest to it: one of 2 d values, which similar vectors share. A
 is stored in its own bucket of every table and looks into the next likely buckets too (multiprobe). Vectors that meet are
 compared by a 128-bit sketch of signs first, then exactly, in double.
 
-Only ids and sketches are shuffled per bucket (28 bytes), vectors only once, and once more per surviving pair.
+Only ids and sketches are shuffled per table, and once for all probes that lie in one region (the buckets that share
+their first axes); vectors are shuffled once, and once more per surviving pair.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from mediasift.session import cut, width
 
 SALTS = 16
 SKETCH = 128
+#: Bits of a bucket's number within its region; with two flags four of them fill 64 bits.
+LOW = 14
 #: Pairs that are compared in one array operation.
 BLOCK = 2_000_000
 #: A bucket with more members is split by samples of its sketches' bits.
@@ -102,6 +105,34 @@ class CrossPolytope:
             number = number * (2 * self.padded) + np.stack([axes[f][:, c[f]] for c in combos], axis=1)
         return np.take_along_axis(number, best, 1) * self.tables + table
 
+    @property
+    def low_bits(self) -> tuple[int, int]:
+        """How many of the last axes of a bucket are told apart within its region, and in how many bits."""
+        each = (2 * self.padded - 1).bit_length()
+        return (last := max(1, min(self.functions - 1, LOW // each))), last * each
+
+    def regions(self, unit: np.ndarray, rotations: list[np.ndarray], table: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, region, code) for each region that a vector looks into: the code holds, 16 bits each, its buckets there,
+        with a bit that tells its own one and a bit that tells it's set."""
+        slots = self.buckets(unit, rotations, table)
+        number = slots // self.tables
+        size = (2 * self.padded) ** self.low_bits[0]
+        region, rest = number // size, number % size
+        field = (rest << 2) | 1
+        field[:, 0] |= 2
+        rows, regions, codes = [], [], []
+        left = np.ones(slots.shape, bool)
+        for i in range(slots.shape[1]):
+            who = np.flatnonzero(left[:, i])
+            same = left[who] & (region[who] == region[who, i][:, None])
+            place = np.cumsum(same, axis=1) - 1
+            code = np.where(same, field[who] << np.where(same, 16 * place, 0), 0)
+            left[who] &= ~same
+            rows.append(who)
+            regions.append(region[who, i] * self.tables + table)
+            codes.append(np.bitwise_or.reduce(code, axis=1))
+        return np.concatenate(rows), np.concatenate(regions), np.concatenate(codes)
+
 
 def vectors_of(column: pa.Array, dim: int) -> np.ndarray:
     """A list column, whose lists all have `dim` numbers, as a matrix in double."""
@@ -110,7 +141,7 @@ def vectors_of(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _entries(plan: CrossPolytope):
-    """(id, vec) to the bucket entries of each vector."""
+    """(id, vec) to the entries of each vector, one per table and region."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rotations, planes = plan.rotations(), plan.planes()
@@ -124,12 +155,10 @@ def _entries(plan: CrossPolytope):
                 unit = (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype("f4")
                 bits = (unit @ planes) > 0
                 s = [(bits[:, i : i + 64] * weights).sum(axis=1, dtype=np.uint64).view(np.int64) for i in (0, 64)]
+                ids = np.asarray(b.column(0))
                 for t in range(plan.tables):
-                    slots = plan.buckets(unit, rotations[t], t)
-                    p = slots.shape[1]
-                    rep = lambda a: pa.array(np.repeat(a, p))  # noqa: B023, E731
-                    probe = pa.array(np.tile(np.arange(p, dtype=np.int8), len(unit)))
-                    yield pa.RecordBatch.from_arrays([pa.array(slots.ravel()), probe, rep(np.asarray(b.column(0))), rep(s[0]), rep(s[1])], ["slot", "probe", "id", "s1", "s2"])
+                    row, region, code = plan.regions(unit, rotations[t], t)
+                    yield pa.RecordBatch.from_arrays([pa.array(region), pa.array(ids[row]), pa.array(s[0][row]), pa.array(s[1][row]), pa.array(code)], ["region", "id", "s1", "s2", "code"])
 
     return run
 
@@ -193,27 +222,53 @@ def _dense(r: dict[str, np.ndarray], far: int, rounds: int = 12) -> Iterator[np.
                 yield _near(i, np.tile(np.arange(f, e), m), sub, far)
 
 
+def _entered(r: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Entries of regions to one row per bucket, sorted by `slot` and `probe` (0 for the own bucket)."""
+    parts = []
+    for i in range(4):
+        field = (r["code"] >> np.int64(16 * i)) & 0xFFFF
+        there = np.flatnonzero(field & 1)
+        parts.append((there, field[there]))
+    row, field = (np.concatenate(x) for x in zip(*parts))
+    out = {c: r[c][row] for c in ("region", "id", "s1", "s2")} | {"low": field >> 2, "probe": 1 - ((field >> 1) & 1)}
+    order = np.lexsort((out["probe"], out["low"], out["region"]))
+    out = {c: v[order] for c, v in out.items()}
+    new = (out["region"][1:] != out["region"][:-1]) | (out["low"][1:] != out["low"][:-1])
+    out["slot"] = np.cumsum(np.r_[False, new]) if len(row) else row
+    return out
+
+
 def _collide(far: int):
-    """Entries sorted by slot and probe to candidate pairs."""
+    """Entries sorted by region to candidate pairs, each once for as many buckets as are at hand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("slot", "probe", "id", "s1", "s2")
-        held = {c: np.empty(0, np.int64) for c in names}
+        names = ("region", "id", "s1", "s2", "code")
+        held: list[dict[str, np.ndarray]] = []
+        count = 0
 
         def out(r: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for p in _pairs_of(r, far):
-                if len(p):
-                    p = p[np.lexsort((p[:, 1], p[:, 0]))]
-                    p = p[np.r_[True, (p[1:] != p[:-1]).any(axis=1)]]
-                    yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], ["a", "b"])
+            seen: list[np.ndarray] = []
+            for p in [*_pairs_of(_entered(r), far), None]:
+                if p is not None:
+                    seen.append(p)
+                if seen and (p is None or sum(map(len, seen)) > BLOCK):
+                    both = np.concatenate(seen)
+                    seen = []
+                    both = both[np.lexsort((both[:, 1], both[:, 0]))]
+                    both = both[np.r_[True, (both[1:] != both[:-1]).any(axis=1)]] if len(both) else both
+                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
 
         for b in batches:
-            held = {c: np.concatenate([held[c], np.asarray(b.column(c)).astype(np.int64)]) for c in names}
-            last = np.searchsorted(held["slot"], held["slot"][-1]) if len(held["slot"]) else 0
-            if last > 200_000:
-                yield from out({c: v[:last] for c, v in held.items()})
-                held = {c: v[last:] for c, v in held.items()}
-        yield from out(held)
+            held.append({c: np.asarray(b.column(c)) for c in names})
+            count += b.num_rows
+            if count > 100_000:
+                all_ = {c: np.concatenate([h[c] for h in held]) for c in names}
+                last = int(np.searchsorted(all_["region"], all_["region"][-1]))
+                if last:
+                    yield from out({c: v[:last] for c, v in all_.items()})
+                held, count = [{c: v[last:] for c, v in all_.items()}], count - last
+        if held:
+            yield from out({c: np.concatenate([h[c] for h in held]) for c in names})
 
     return run
 
@@ -260,9 +315,11 @@ def similar_vectors(df: DataFrame, id_column: str, vector_column: str, dim: int,
     heads = members.withColumn("rn", F.row_number().over(of_class)).where(F.col("rn") <= k + 1).select("rep", F.col("id").alias("member"))
     vectors = valid.join(members.where("id <> rep").select("id"), "id", "left_anti")
 
-    entries = vectors.mapInArrow(_entries(plan), "slot long, probe byte, id long, s1 long, s2 long")
-    sorted_ = entries.repartition(width(df.sparkSession), "slot").sortWithinPartitions("slot", "probe")
-    pairs = sorted_.mapInArrow(_collide(far), "a long, b long").distinct()
+    entries = vectors.mapInArrow(_entries(plan), "region long, id long, s1 long, s2 long, code long")
+    n = width(df.sparkSession)
+    by_region = entries.repartition(n, "region").sortWithinPartitions("region")
+    # partitioned by a alone: that serves both to drop what was found twice and to meet the vectors
+    pairs = by_region.mapInArrow(_collide(far), "a long, b long").repartition(n, "a").dropDuplicates(["a", "b"])
     left = pairs.join(vectors.select(F.col("id").alias("a"), F.col("vec").alias("va")), "a")
     both = left.join(vectors.select(F.col("id").alias("b"), F.col("vec").alias("vb")), "b").select("a", "b", "va", "vb")
     near = both.mapInArrow(_exact(dim, floor), "a long, b long, cosine double")
