@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mediasift.plans import general
+from mediasift.plans import general, matching
 
-MODULES = (general,)
-FLAGSHIP = "p5_found"
+MODULES = (matching, general)
+FLAGSHIP = "temporal_match"
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
