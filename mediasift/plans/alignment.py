@@ -153,7 +153,7 @@ ORACLES = {
       full_ AS (SELECT w.*, m, num / greatest(sqrt(ce) * sqrt(te), 1e-8) AS r FROM w JOIN size z ON w.target_id = z.target_id AND w.target_version = z.target_version AND w.candidate_id = z.candidate_id
         WHERE k = m AND s >= 0 AND n >= m AND sqrt(ce) >= 1e-8),
       best AS (SELECT * FROM full_ QUALIFY row_number() OVER (PARTITION BY {_K} ORDER BY round(r, 12) DESC, s) = 1)
-      SELECT z.target_id, z.target_version, z.candidate_id, round(coalesce(greatest(0, least(1, r)), 0), 6) AS similarity, cast(coalesce(s, 0) AS INTEGER) AS target_start_index,
+      SELECT z.target_id, z.target_version, z.candidate_id, round(greatest(0, least(1, coalesce(r, 0))), 6) AS similarity, cast(coalesce(s, 0) AS INTEGER) AS target_start_index,
         cast(CASE WHEN z.m <= z.n THEN coalesce(s, 0) + z.m - 1 ELSE 0 END AS INTEGER) AS target_end_index, round(coalesce(s, 0) * 1.0, 6) AS offset_s, round(coalesce(r, 0), 6) AS detail
       FROM size z LEFT JOIN best b ON b.target_id = z.target_id AND b.target_version = z.target_version AND b.candidate_id = z.candidate_id""",
     "segment_features": "WITH " + _SEGS.format(coarse=0.6) + f" SELECT vec_id, {_digest('embeddings')} AS digest, round({_RMS.format(v='embeddings')}, 6) AS rms, round({_ZCR.format(v='embeddings')}, 6) AS zcr FROM ok".replace("WITH \nok", "WITH ok"),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mediasift.plans import alignment, general, matching
+from mediasift.plans import alignment, general, matching, records
 
-MODULES = (matching, alignment, general)
+MODULES = (matching, alignment, records, general)
 FLAGSHIP = "temporal_match"
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
