@@ -30,7 +30,7 @@ ERROR_KINDS = {
 def ipv4_number(address: Column) -> Column:
     """A dotted address as a number, or null if it isn't one."""
     parts = F.split(address, r"\.")
-    good = address.rlike(r"^(0|[1-9]\d{0,2})(\.(0|[1-9]\d{0,2})){3}$") & ~F.exists(parts, lambda p: p.cast("int") > 255)
+    good = address.rlike(r"^(0|[1-9]\d{0,2})(\.(0|[1-9]\d{0,2})){3}\z") & ~F.exists(parts, lambda p: p.cast("int") > 255)
     return F.when(good, sum(parts[i].cast("long") * (1 << (24 - 8 * i)) for i in range(4)))
 
 
@@ -106,7 +106,7 @@ def media_content(header: Column) -> Column:
 def ending(url: Column) -> Column:
     """The ending of the file that an address or path names, in lower case; empty without one."""
     path = F.regexp_replace(F.regexp_replace(stripped(F.coalesce(url, F.lit(""))), r"(?s)[?#].*$", ""), r"^\w+://[^/]*", "")
-    return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})$", 1))
+    return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})\z", 1))
 
 
 def media_kind(url: Column) -> Column:

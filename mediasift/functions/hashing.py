@@ -17,7 +17,7 @@ def _half(digest: Column, start: int) -> Column:
 
 def hash_similarity(a: Column, b: Column) -> Column:
     """Share of equal bits of two hex digests of 1 to 16 digits; 0 if one is null or empty, isn't hex, or their lengths differ."""
-    fits = (F.length(a) == F.length(b)) & a.rlike("^[0-9A-Fa-f]{1,16}$") & b.rlike("^[0-9A-Fa-f]{1,16}$")
+    fits = (F.length(a) == F.length(b)) & a.rlike("^[0-9A-Fa-f]{1,16}\\z") & b.rlike("^[0-9A-Fa-f]{1,16}\\z")
     apart = F.bit_count(_half(a, 1).bitwiseXOR(_half(b, 1))) + F.bit_count(_half(a, 9).bitwiseXOR(_half(b, 9)))
     return F.when(F.coalesce(fits, F.lit(False)), 1.0 - apart / (4.0 * F.length(a))).otherwise(0.0)
 
@@ -34,7 +34,7 @@ def majority_digest(df: DataFrame, group: list[str], digest: str) -> DataFrame:
     One sum per bit, so votes add up before the shuffle.
     """
     d = F.col(digest)
-    good = F.coalesce(d.rlike("^[0-9A-Fa-f]{16}$"), F.lit(False))
+    good = F.coalesce(d.rlike("^[0-9A-Fa-f]{16}\\z"), F.lit(False))
     halves = df.select(*group, good.alias("_ok"), _half(d, 1).alias("_h"), _half(d, 9).alias("_l"))
     votes = [F.sum(F.when(F.col("_ok"), F.shiftright(c, i).bitwiseAND(F.lit(1)))).alias(f"{c}{i}") for c in ("_h", "_l") for i in range(32)]
     counted = halves.groupBy(*group).agg(F.count(F.when(F.col("_ok"), 1)).alias("n"), *votes)

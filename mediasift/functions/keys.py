@@ -18,7 +18,7 @@ def json_text(c: Column) -> Column:
         for texts in parts:
             yield texts.map(lambda t: None if t is None else json.dumps(t))
 
-    plain = c.rlike(r'^[\x20-\x7e&&[^"\\]]*$')
+    plain = c.rlike(r'^[\x20-\x7e&&[^"\\]]*\z')
     return F.coalesce(F.when(plain, F.concat(F.lit('"'), c, F.lit('"'))), escaped(F.when(~plain, c)), F.lit("null"))
 
 

@@ -16,7 +16,7 @@ def parse_jobs(wire: DataFrame, schema_version: int = 1) -> DataFrame:
     fields' order), a schema version that is no integer or another one (none counts as right), attempts that are no integer or below 1, no technique."""
     missing = F.array_compact(F.array(*(F.when(F.coalesce(F.col(c), F.lit("")) == "", F.lit(c)) for c in REQUIRED)))
     version, attempts = F.trim("schema_version"), F.trim("max_attempts")
-    integer = r"^[+-]?\d{1,9}$"
+    integer = r"^[+-]?\d{1,9}\z"
     techniques = F.filter(F.split(F.coalesce("techniques", F.lit("")), ","), lambda t: t != "")
     given = F.coalesce(F.col("schema_version"), F.lit("")) != ""
     reason = (
@@ -87,4 +87,4 @@ def backoff_seconds(attempt: Column, base: float = 1.0, most: float = 60.0) -> C
 
 def entry_seconds(entry_id: Column) -> Column:
     """Epoch seconds of a stream entry id (milliseconds-sequence); null if it isn't one."""
-    return F.regexp_extract(entry_id, r"^(\d{1,15})-\d+$", 1).try_cast("long") / 1000
+    return F.regexp_extract(entry_id, r"^(\d{1,15})-\d+\z", 1).try_cast("long") / 1000

@@ -15,7 +15,7 @@ from mediasift.functions.gates import content_type, ending, fetchable, media_con
 
 
 def media_files(spark: SparkSession, folder: str, endings: Iterable[str] = (), most_bytes: int = 100 << 20) -> DataFrame:
-    """Files below a folder with one of these endings (any without): `path`, `length`, `content_sha256`, `ending`, `fits` (no longer than `most_bytes`). Digests are made where the file is read; contents aren't kept."""
+    """Files below a folder with one of these endings (any without): `path`, `length`, `content_sha256`, `ending`, `fits` (no longer than `most_bytes`). Digests are made where the file is read; contents aren't kept. Empty files aren't listed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     e = ending(F.col("path"))
     kept = files.where(e.isin(list(endings))) if endings else files
