@@ -29,7 +29,7 @@ SKETCH = 128
 LOW = 14
 #: Pairs that are compared in one array operation.
 BLOCK = 2_000_000
-#: A bucket with more members is split by samples of its sketches' bits.
+#: A bucket with more entries is a crowd: its vectors are searched exactly, in blocks of so many, which keeps the best of each.
 DENSE = 4096
 
 
@@ -181,45 +181,21 @@ def _spread(first: np.ndarray, mains: np.ndarray, sizes: np.ndarray) -> tuple[np
     return i, j
 
 
-def _pairs_of(r: dict[str, np.ndarray], far: int) -> Iterator[np.ndarray]:
-    """Candidate pairs of whole buckets, sorted by slot and probe."""
+def _pairs_of(r: dict[str, np.ndarray], far: int, crowded, crowd: int) -> Iterator[np.ndarray]:
+    """Candidate pairs of whole buckets, sorted by slot and probe; crowded buckets are only counted."""
     n = len(r["slot"])
     if not n:
         return
     first = np.flatnonzero(np.r_[True, r["slot"][1:] != r["slot"][:-1]])
     sizes = np.diff(np.r_[first, n])
     mains = np.add.reduceat((r["probe"] == 0).astype(np.int64), first)
-    dense = sizes > DENSE
+    dense = sizes > crowd
     work = np.where(dense, 0, mains * sizes)
     chunk = np.cumsum(work) // BLOCK
     for c in np.unique(chunk[work > 0]):
         pick = (chunk == c) & (work > 0)
         yield _near(*_spread(first[pick], mains[pick], sizes[pick]), r, far)
-    for f, s in zip(first[dense], sizes[dense]):
-        yield from _dense({k: v[f : f + s] for k, v in r.items()}, far)
-
-
-def _dense(r: dict[str, np.ndarray], far: int, rounds: int = 12) -> Iterator[np.ndarray]:
-    """A bucket of very many vectors: several times split by some of the sketch's bits, as many as leave about 1,000 in
-    a part. The most similar vectors of such a crowd are very near, and differ in few bits."""
-    rng = np.random.default_rng(len(r["id"]))
-    bits = max(1, math.ceil(math.log2(len(r["id"]) / 1000)))
-    for _ in range(rounds):
-        chosen = rng.choice(SKETCH, min(bits, 60), replace=False)
-        part = np.zeros(len(r["id"]), np.int64)
-        for b in chosen:
-            part = part * 2 + ((r["s1" if b < 64 else "s2"] >> np.int64(b % 64)) & 1)
-        order = np.lexsort((r["probe"], part))
-        sub = {k: v[order] for k, v in r.items()} | {"slot": part[order]}
-        first = np.flatnonzero(np.r_[True, sub["slot"][1:] != sub["slot"][:-1]])
-        ends = np.r_[first[1:], len(order)]
-        for f, e in zip(first, ends):
-            own = int((sub["probe"][f:e] == 0).sum())
-            step = max(1, BLOCK // (e - f))
-            for k in range(0, own, step):
-                m = min(step, own - k)
-                i = np.repeat(np.arange(f + k, f + k + m), e - f)
-                yield _near(i, np.tile(np.arange(f, e), m), sub, far)
+    crowded.add(int(dense.sum()))
 
 
 def _entered(r: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -238,17 +214,31 @@ def _entered(r: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return out
 
 
-def _collide(far: int):
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Entries sorted by region, in pieces of whole regions."""
+    names = ("region", "id", "s1", "s2", "code")
+    held: list[dict[str, np.ndarray]] = []
+    count = 0
+    for b in batches:
+        held.append({c: np.asarray(b.column(c)) for c in names})
+        count += b.num_rows
+        if count > 100_000:
+            all_ = {c: np.concatenate([h[c] for h in held]) for c in names}
+            last = int(np.searchsorted(all_["region"], all_["region"][-1]))
+            if last:
+                yield {c: v[:last] for c, v in all_.items()}
+            held, count = [{c: v[last:] for c, v in all_.items()}], count - last
+    if held:
+        yield {c: np.concatenate([h[c] for h in held]) for c in names}
+
+
+def _collide(far: int, crowded, crowd: int):
     """Entries sorted by region to candidate pairs, each once for as many buckets as are at hand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("region", "id", "s1", "s2", "code")
-        held: list[dict[str, np.ndarray]] = []
-        count = 0
-
-        def out(r: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for r in _regions(batches):
             seen: list[np.ndarray] = []
-            for p in [*_pairs_of(_entered(r), far), None]:
+            for p in [*_pairs_of(_entered(r), far, crowded, crowd), None]:
                 if p is not None:
                     seen.append(p)
                 if seen and (p is None or sum(map(len, seen)) > BLOCK):
@@ -258,21 +248,57 @@ def _collide(far: int):
                     both = both[np.r_[True, (both[1:] != both[:-1]).any(axis=1)]] if len(both) else both
                     yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
 
+    return run
+
+
+def _crowds(crowd: int):
+    """Members of the buckets that `_collide` left out: the bucket, the number of its entries, and id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _regions(batches):
+            e = _entered(r)
+            sizes = np.bincount(e["slot"])
+            inside = np.flatnonzero(sizes[e["slot"]] > crowd)
+            bucket = (e["region"][inside] << LOW) | e["low"][inside]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(sizes[e["slot"][inside]].astype(np.int64)), pa.array(e["id"][inside])], ["bucket", "size", "id"])
+
+    return run
+
+
+def _best_in_block(dim: int, k: int, floor: float):
+    """(ids and vectors of a block, the same of another) to each one's k most similar of the other block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held.append({c: np.asarray(b.column(c)) for c in names})
-            count += b.num_rows
-            if count > 100_000:
-                all_ = {c: np.concatenate([h[c] for h in held]) for c in names}
-                last = int(np.searchsorted(all_["region"], all_["region"][-1]))
-                if last:
-                    yield from out({c: v[:last] for c, v in all_.items()})
-                held, count = [{c: v[last:] for c, v in all_.items()}], count - last
-        if held:
-            yield from out({c: np.concatenate([h[c] for h in held]) for c in names})
+            for i in range(b.num_rows):
+                qi, di = (np.asarray(b.column(c)[i].values) for c in ("q_ids", "d_ids"))
+                q, d = (np.asarray(b.column(c)[i].values).astype("f8").reshape(-1, dim) for c in ("q_flat", "d_flat"))
+                q, d = (v / np.abs(v).max(axis=1, keepdims=True) for v in (q, d))
+                order = np.argsort(di)
+                di, d = di[order], d[order]
+                cos = np.round((q @ d.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(d, axis=1)), 6)
+                cos[(qi[:, None] == di) | (cos < floor)] = -np.inf
+                top = np.argsort(-cos, axis=1, kind="stable")[:, :k]
+                c = np.take_along_axis(cos, top, 1)
+                keep = np.isfinite(c).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, top.shape[1])[keep]), pa.array(di[top].ravel()[keep]), pa.array(c.ravel()[keep])], ["x", "y", "cosine"])
 
     return run
 
 
+def _search_crowds(entries: DataFrame, vectors: DataFrame, dim: int, k: int, floor: float, crowd: int) -> DataFrame:
+    """Neighbours (`x`, `y`, `cosine`) within crowded buckets, exactly: members are spread over blocks, each block of a bucket meets each other one, and a vector keeps
+    its k best of a block. So a bucket of any size is many tasks, and none of them gives all pairs."""
+    members = entries.mapInArrow(_crowds(crowd), "bucket long, size long, id long").distinct()
+    n = F.ceil(F.col("size") / crowd).cast("int")
+    placed = members.withColumn("n", n).withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).join(vectors, "id")
+    packed = placed.groupBy("bucket", "n", "block").agg(F.collect_list(F.struct("id", "vec")).alias("m"))
+    packed = cut(packed.select("bucket", "n", "block", F.col("m.id").alias("ids"), F.flatten("m.vec").alias("flat")))
+    data = packed.select("bucket", "block", F.col("ids").alias("d_ids"), F.col("flat").alias("d_flat"))
+    asked = packed.select("bucket", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"), F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"))
+    return data.join(asked, ["bucket", "block"]).select("q_ids", "q_flat", "d_ids", "d_flat").mapInArrow(_best_in_block(dim, k, floor), "x long, y long, cosine double").distinct()
+
+
 def _exact(dim: int, floor: float):
     """(a, b, va, vb) to (a, b, cosine), in double and rounded to 6 places."""
 
@@ -290,14 +316,14 @@ def _exact(dim: int, floor: float):
     return run
 
 
-def similar_vectors(df: DataFrame, id_column: str, vector_column: str, dim: int, k: int = 10, floor: float = 0.9, plan: CrossPolytope | None = None) -> DataFrame:
+def similar_vectors(df: DataFrame, id_column: str, vector_column: str, dim: int, k: int = 10, floor: float = 0.9, plan: CrossPolytope | None = None, crowd: int = DENSE) -> DataFrame:
     """`id`, `neighbour`, `cosine`, `pos`: for each vector the k most similar others with a cosine of `floor` or more (rounded to 6 places), of
     equal ones the smaller id first.
 
     Ids are unique integers; rows with a null id take no part, nor do vectors that are null, have not `dim` numbers, hold a null,
     NaN or infinity, or are zero. Vectors need no unit length. Vectors saved more than once are hashed once: each of the
     copies has the others among its neighbours. No vectors give no rows. The search is approximate: a pair is found with a
-    probability that grows with its cosine.
+    probability that grows with its cosine. Buckets with more than `crowd` entries are searched exactly, in blocks.
     """
     v = F.col(vector_column)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > 3.4e38))
@@ -318,18 +344,27 @@ def similar_vectors(df: DataFrame, id_column: str, vector_column: str, dim: int,
     entries = vectors.mapInArrow(_entries(plan), "region long, id long, s1 long, s2 long, code long")
     n = width(df.sparkSession)
     by_region = entries.repartition(n, "region").sortWithinPartitions("region")
+    crowded = df.sparkSession.sparkContext.accumulator(0)
     # partitioned by a alone: that serves both to drop what was found twice and to meet the vectors
-    pairs = by_region.mapInArrow(_collide(far), "a long, b long").repartition(n, "a").dropDuplicates(["a", "b"])
+    pairs = by_region.mapInArrow(_collide(far, crowded, crowd), "a long, b long").repartition(n, "a").dropDuplicates(["a", "b"])
     left = pairs.join(vectors.select(F.col("id").alias("a"), F.col("vec").alias("va")), "a")
     both = left.join(vectors.select(F.col("id").alias("b"), F.col("vec").alias("vb")), "b").select("a", "b", "va", "vb")
     near = both.mapInArrow(_exact(dim, floor), "a long, b long, cosine double")
 
     ways = near.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y"), "cosine"), F.struct(F.col("b").alias("x"), F.col("a").alias("y"), "cosine"))).alias("w")).select("w.*")
-    spread = ways.join(heads, ways["y"] == heads["rep"], "left").select("x", F.coalesce("member", "y").alias("y"), "cosine")
     own = heads.select(F.col("rep").alias("x"), F.col("member").alias("y"), F.lit(1.0).alias("cosine"))
     order = [F.desc("cosine"), "y"]
-    ranked = spread.union(own).withColumn("rn", F.row_number().over(Window.partitionBy("x").orderBy(*order))).where(F.col("rn") <= k + 1)
-    ranked = cut(ranked)
+
+    def best(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("rn", F.row_number().over(Window.partitionBy("x").orderBy(*order))).where(F.col("rn") <= k + 1)
+
+    def of_members(rows: DataFrame) -> DataFrame:
+        return rows.join(heads, rows["y"] == heads["rep"], "left").select("x", F.coalesce("member", "y").alias("y"), "cosine")
+
+    ranked = cut(best(of_members(ways).union(own)))
+    if crowded.value:
+        more = of_members(_search_crowds(by_region, vectors, dim, k + 1, floor, crowd))
+        ranked = cut(best(ranked.drop("rn").union(more).distinct()))
     single = ranked.join(heads.select(F.col("rep").alias("x")).distinct(), "x", "left_anti").where(F.col("rn") <= k).select(F.col("x").alias("id"), F.col("y").alias("neighbour"), "cosine", F.col("rn").alias("pos"))
     shared = ranked.join(heads.select(F.col("rep").alias("x")).distinct(), "x", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     each = shared.join(members.select(F.col("rep").alias("x"), "id", "salt"), ["x", "salt"]).where("id <> y")

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mediasift.llm.similar import CrossPolytope, _dense, hadamard, similar_vectors
+from mediasift.llm.similar import CrossPolytope, hadamard, similar_vectors
 
 
 def brute(ids, x, k, floor):
@@ -76,15 +76,12 @@ def test_regions_hold_all_buckets(functions, dim):
         assert all(back[i] == set(slots[i].tolist()) and own[i] == slots[i, 0] for i in range(50))
 
 
-def test_dense_buckets_keep_the_nearest():
+def test_crowded_buckets_are_searched_exactly(spark):
     rng = np.random.default_rng(2)
-    n = 6000
-    centre = rng.integers(0, 2, 128)
-    bits = np.where(rng.random((n, 128)) < 0.10, 1 - centre, centre)
-    bits[1::2] = np.where(rng.random((n // 2, 128)) < 0.03, 1 - bits[::2], bits[::2])
-    weights = (np.uint64(1) << np.arange(64, dtype=np.uint64))
-    s = [(bits[:, i : i + 64].astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64).view(np.int64) for i in (0, 64)]
-    r = {"id": np.arange(n), "s1": s[0], "s2": s[1], "probe": np.zeros(n, np.int64), "slot": np.zeros(n, np.int64)}
-    got = {tuple(p) for part in _dense(r, 35) for p in part.tolist()}
-    twins = {(i, i + 1) for i in range(0, n, 2)}
-    assert len(got & twins) / len(twins) > 0.95 and len(got) < n * n / 8
+    x = np.concatenate([np.ones((500, 16)) + 0.02 * rng.standard_normal((500, 16)), rng.standard_normal((200, 16))])
+    rows = [(int(i), v.astype("f4").tolist()) for i, v in enumerate(x)] + [(900 + i, np.ones(16).tolist()) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    want = brute([r[0] for r in rows], [r[1] for r in rows], 10, 0.9)
+    got = found(df, k=10, floor=0.9, crowd=64)
+    crowd = [i for i in want if i < 500 or i >= 900]
+    assert sum(len(set(got[i]) & set(want[i])) for i in crowd) > 0.99 * sum(len(want[i]) for i in crowd)
