@@ -97,7 +97,9 @@ def mix(documents: DataFrame, weights: DataFrame, id_column: str, source: Column
     plan = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in listed.collect()}
     names = list(margins)
     base = documents.select(F.col(id_column), source.alias("source"), tokens.cast("long").alias("tokens"), *(F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in margins.items()))
-    counted = cut(_levelled(base.join(F.broadcast(listed.select("source")), "source"), names))
+    # cut, as each margin reads it once more, and counting tokens is costly
+    listed_only = cut(base.join(F.broadcast(listed.select("source")), "source"))
+    counted = cut(_levelled(listed_only, names))
     table = counted.groupBy("source", *names).agg(F.sum("tokens").alias("tokens")).orderBy("source", *names).collect()
     cells, size = [tuple(r[:-1]) for r in table], np.array([float(r["tokens"] or 0) for r in table])
     raked = rake(cells, size, {s: p[0] for s, p in plan.items()}, {s: p[1] for s, p in plan.items()})
