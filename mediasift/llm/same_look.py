@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mediasift.session import cut
+
 # Letters of other scripts that look like Latin ones, by their base letters.
 CYRILLIC = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X",
@@ -148,7 +150,8 @@ def look_alikes(df: DataFrame, id_column: str, text_column: str, all_pairs: int
     which loses no link between different texts. Only classes that share their form with another are ever joined.
     """
     form = canonical(F.col(text_column))
-    keyed = (
+    # cut, as it is read four times and canonical forms are costly; digests only, 40 bytes a row
+    keyed = cut(
         df.where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull())
         .select(F.col(id_column).alias("id"), F.col(text_column).alias("t"), form.alias("f"))
         .select("id", F.xxhash64("f").alias("f1"), F.xxhash64(F.lit(1), "f").alias("f2"), F.xxhash64("t", F.lit(2)).alias("t1"))
