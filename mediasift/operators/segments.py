@@ -51,7 +51,7 @@ def coarse_vectors(segs: DataFrame, clip: Sequence[str], dim: int) -> DataFrame:
 
 
 def blocks(segs: DataFrame, clip: Sequence[str], size: int = 256) -> DataFrame:
-    """`clip` columns, `block`, `idxs`, `flat`: up to `size` consecutive segment numbers a row, with their vectors end to
-    end. However long a clip is, no row holds more."""
-    rows = segs.groupBy(*clip, F.floor(F.col("idx") / size).alias("block")).agg(F.array_sort(F.collect_list(F.struct("idx", F.col("vec").cast("array<double>").alias("vec")))).alias("s"))
-    return rows.select(*clip, "block", F.col("s.idx").alias("idxs"), F.flatten("s.vec").alias("flat"))
+    """`clip` columns, `block`, `idxs`, `starts`, `ends`, `flat`: up to `size` consecutive segment numbers a row, with their times, and their vectors
+    end to end. However long a clip is, no row holds more."""
+    rows = segs.groupBy(*clip, F.floor(F.col("idx") / size).alias("block")).agg(F.array_sort(F.collect_list(F.struct("idx", "start_s", "end_s", "vec"))).alias("s"))
+    return rows.select(*clip, "block", F.col("s.idx").alias("idxs"), F.col("s.start_s").alias("starts"), F.col("s.end_s").alias("ends"), F.flatten("s.vec").alias("flat"))

@@ -26,42 +26,43 @@ class MatcherConfig:
 TARGET = ["target_id", "target_version"]
 CANDIDATE = ["candidate_id"]
 PAIR = [*TARGET, *CANDIDATE]
+TIMES = ["c_start", "c_end", "t_start", "t_end"]
 
 
 def _multiply(threshold: float | None):
-    """Blocks of both sides to segment pairs with their cosine: one matrix product a row. Below a length of 1e-12 a
-    vector has cosine 0 with any."""
+    """Blocks of both sides to segment pairs with their cosine and times: one matrix product a row. Below a length of
+    1e-12 a vector has cosine 0 with any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts: list[list] = [[], [], [], []]
-            get = {c: b.column(c) for c in ("t_idxs", "t_flat", "c_idxs", "c_flat")}
+            parts: list[list] = [[] for _ in range(8)]
+            sides = [{c: b.column(f"{side}_{c}") for c in ("idxs", "starts", "ends", "flat")} for side in "tc"]
             for i in range(b.num_rows):
-                ti, tv, ci, cv = (np.asarray(get[c][i].values) for c in ("t_idxs", "t_flat", "c_idxs", "c_flat"))
-                t, c = tv.reshape(len(ti), -1), cv.reshape(len(ci), -1)
+                (ti, t0, t1, t), (ci, c0, c1, c) = ([side[k][i].values.to_numpy(zero_copy_only=False) for k in side] for side in sides)
+                t, c = t.astype("f8").reshape(len(ti), -1), c.astype("f8").reshape(len(ci), -1)
                 if t.shape[1] != c.shape[1]:
                     raise ValueError(f"vectors of {t.shape[1]} and of {c.shape[1]} numbers can't be compared")
                 t = t / np.maximum(np.linalg.norm(t, axis=1, keepdims=True), 1e-12)
                 c = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
                 sim = c @ t.T
                 x, y = np.nonzero(sim >= threshold) if threshold is not None else np.indices(sim.shape).reshape(2, -1)
-                for to, new in zip(parts, (np.full(len(x), i), ci[x], ti[y], sim[x, y])):
+                for to, new in zip(parts, (np.full(len(x), i), ci[x], ti[y], sim[x, y], c0[x], c1[x], t0[y], t1[y])):
                     to.append(new)
-            row, c, t, s = (np.concatenate(p) if p else np.empty(0) for p in parts)
-            if len(row):
-                pick = pa.array(row)
-                keys = [b.column(k).take(pick) for k in PAIR]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(c.astype("i4")), pa.array(t.astype("i4")), pa.array(s)], [*PAIR, "c", "t", "s"])
+            if not parts[0]:
+                continue
+            row, c, t, s, *times = map(np.concatenate, parts)
+            pick = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(pick) for k in PAIR), pa.array(c.astype("i4")), pa.array(t.astype("i4")), pa.array(s), *map(pa.array, times)], [*PAIR, "c", "t", "s", *TIMES])
 
     return run
 
 
 def segment_pairs(pairs: DataFrame, target_segments: DataFrame, candidate_segments: DataFrame, threshold: float | None) -> DataFrame:
-    """Segment pairs (`c`, `t`, cosine `s`) of the clip pairs (`target_id`, `target_version`, `candidate_id`) with a cosine of at least the threshold; all without one."""
-    t = blocks(target_segments, TARGET).select(*TARGET, F.col("idxs").alias("t_idxs"), F.col("flat").alias("t_flat"))
-    c = blocks(candidate_segments, CANDIDATE).select(*CANDIDATE, F.col("idxs").alias("c_idxs"), F.col("flat").alias("c_flat"))
-    both = pairs.join(c, CANDIDATE).join(t, TARGET).select(*PAIR, "t_idxs", "t_flat", "c_idxs", "c_flat")
-    return both.mapInArrow(_multiply(threshold), "target_id string, target_version string, candidate_id string, c int, t int, s double")
+    """Segment pairs (`c`, `t`, cosine `s`, and when each starts and ends) of the clip pairs (`target_id`, `target_version`, `candidate_id`) with a cosine of at least the threshold; all without one."""
+    side = lambda segs, key, name: blocks(segs, key).select(*key, *(F.col(v).alias(f"{name}_{v}") for v in ("idxs", "starts", "ends", "flat")))
+    both = pairs.join(side(candidate_segments, CANDIDATE, "c"), CANDIDATE).join(side(target_segments, TARGET, "t"), TARGET)
+    times = ", ".join(f"{x} double" for x in TIMES)
+    return both.mapInArrow(_multiply(threshold), f"target_id string, target_version string, candidate_id string, c int, t int, s double, {times}")
 
 
 def coarse_screen(pairs: DataFrame, target_segments: DataFrame, candidate_segments: DataFrame, dim: int, cfg: MatcherConfig) -> DataFrame:
@@ -89,10 +90,10 @@ def best_runs(hits: DataFrame, cfg: MatcherConfig) -> DataFrame:
     best = near.withColumn("r", F.row_number().over(Window.partitionBy(*PAIR, "c").orderBy(F.desc(F.round("s", 12)), "t"))).where("r = 1")
     w = of_pair.orderBy("c")
     broken = F.lag("c").over(w).isNull() | (F.col("c") - F.lag("c").over(w) > cfg.max_gap) | (F.col("t") < F.lag("t").over(w))
-    runs = best.select(*PAIR, "c", "t", "s", broken.cast("int").alias("b")).withColumn("run", F.sum("b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = best.select(*PAIR, "c", "t", "s", *TIMES, broken.cast("int").alias("b")).withColumn("run", F.sum("b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     sized = runs.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*PAIR, "run")))
     first = sized.withColumn("best", F.max(F.struct("n", (-F.col("run")).alias("run"))).over(of_pair))
-    return first.where((F.col("n") == F.col("best.n")) & (F.col("run") == -F.col("best.run"))).select(*PAIR, "c", "t", "s")
+    return first.where((F.col("n") == F.col("best.n")) & (F.col("run") == -F.col("best.run"))).select(*PAIR, "c", "t", "s", *TIMES)
 
 
 def temporal_match(pairs: DataFrame, target_segments: DataFrame, candidate_segments: DataFrame, dim: int, cfg: MatcherConfig = MatcherConfig()) -> tuple[DataFrame, DataFrame]:
@@ -104,13 +105,10 @@ def temporal_match(pairs: DataFrame, target_segments: DataFrame, candidate_segme
     screened = coarse_screen(pairs.select(*PAIR).dropna().distinct(), target_segments, candidate_segments, dim, cfg)
     hits = segment_pairs(screened.where("passed").select(*PAIR), target_segments, candidate_segments, cfg.segment_similarity)
     rows = best_runs(hits, cfg)
-    folded = rows.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n"), F.avg("s").alias("mean"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("t").alias("t0"), F.max("t").alias("t1"))
-    place = lambda segs, key, idx, col, name: segs.select(*key, F.col("idx").alias(idx), F.col(col).alias(name))
-    for segs, key, idx, col, name in (
-        (target_segments, TARGET, "t0", "start_s", "target_start"), (target_segments, TARGET, "t1", "end_s", "target_end"),
-        (candidate_segments, CANDIDATE, "c0", "start_s", "candidate_start"), (candidate_segments, CANDIDATE, "c1", "end_s", "candidate_end"),
-    ):
-        folded = folded.join(place(segs, key, idx, col, name), [*key, idx])
+    folded = rows.groupBy(*PAIR).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("s").alias("mean"), F.min_by("t_start", "t").alias("target_start"), F.max_by("t_end", "t").alias("target_end"),
+        F.min_by("c_start", "c").alias("candidate_start"), F.max_by("c_end", "c").alias("candidate_end"),
+    )
     out = screened.join(folded, PAIR, "left").select(
         *PAIR,
         F.coalesce((F.col("n") >= cfg.min_segments) & (F.col("mean") >= cfg.segment_similarity), F.lit(False)).alias("matched"),

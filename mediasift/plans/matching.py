@@ -50,7 +50,7 @@ def q_matched_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_similar_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segment pairs of named clip pairs with a cosine of 0.9 or more."""
-    return _round(segment_pairs(named_pairs(spark, sf_dir), *clips(spark, sf_dir), 0.9))
+    return _round(segment_pairs(named_pairs(spark, sf_dir), *clips(spark, sf_dir), 0.9).select(*PAIR, "c", "t", "s"))
 
 
 def q_coarse_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
