@@ -12,7 +12,7 @@ from mediasift.llm.history import replay
 from mediasift.llm.media_keys import evidence_key, trimmed, url_key
 from mediasift.llm.mixture import mix
 from mediasift.llm.percentiles import epoch_seconds, percentiles, value_counts
-from mediasift.llm.same_look import canonical, look_alikes
+from mediasift.llm.same_look import LOOK, canonical, look_alikes
 from mediasift.llm.similar import similar_vectors
 from mediasift.llm.top_n import top_n_per_group
 from mediasift.session import table
@@ -132,9 +132,56 @@ def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", canonical(F.col("text")).alias("text"))
 
 
+# The same file by the same rules: each line of the address undoes one way of writing it.
+P3_FOUND_SQL = r"""
+WITH j AS (
+  SELECT lower(regexp_replace(job_id, '^\s+|\s+$', '', 'g')) AS job, delivery_id, media_url, media_evidence_id FROM jobs
+  QUALIFY row_number() OVER (PARTITION BY lower(regexp_replace(job_id, '^\s+|\s+$', '', 'g')) ORDER BY delivery_id) = 1),
+a AS (SELECT job, delivery_id, regexp_replace(media_url, '^\s+|\s+$', '', 'g') AS u, lower(regexp_replace(media_evidence_id, '^\s+|\s+$', '', 'g')) AS e FROM j),
+b AS (
+  SELECT *, lower(regexp_extract(u, '^(?i:https?)://([^/?#]*)', 1)) AS host, regexp_extract(u, '^(?i:https?)://[^/?#]*([^?#]*)', 1) AS path,
+    regexp_extract(u, '^(?i:https?)://[^/?#]*[^?#]*\?([^#]*)', 1) AS query FROM a),
+c AS (
+  SELECT job, delivery_id, e,
+    regexp_replace(regexp_replace(regexp_replace(host, ':(80|443)?$', ''), '\.+$', ''), '^((www\d*|m|cdn\d+|edge-\d+)\.)+([^.]+\.[^.]+)', '\3') AS host,
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(url_decode(path), '/+', '/', 'g'), '(/\.)+(/|$)', '\2', 'g'), '/+$', ''), '_\d{3,4}p(\.[A-Za-z0-9]+)$', '\1') AS path,
+    array_to_string(list_sort(list_transform(list_filter(string_split(query, '&'),
+      lambda x: x <> '' AND NOT regexp_matches(x, '^(?i:utm_\w*|ref|share_id|token|expires|sid|session|phpsessid)(=|$)')), lambda x: url_decode(x))), '&') AS query FROM b),
+k AS (
+  SELECT job, delivery_id, 'url' AS kind, host || path || '?' || query AS key FROM c WHERE host <> ''
+  UNION ALL
+  SELECT job, delivery_id, 'evidence', regexp_replace(regexp_replace(e, '^.*[:/]', ''), '[^a-z0-9]', '', 'g') FROM c
+  WHERE e NOT IN ('n/a', 'na', 'none', 'null', 'unknown') AND regexp_matches(e, '[a-z0-9]')),
+f AS (SELECT job, first_value(job) OVER (PARTITION BY kind, key ORDER BY delivery_id) AS first FROM k)
+SELECT DISTINCT least(job, first) AS job_id_a, greatest(job, first) AS job_id_b FROM f WHERE job <> first
+"""
+
+P1_FOUND_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embeddings, lambda x: cast(x AS DOUBLE)) AS v FROM index_frames WHERE len(embeddings) = 64),
+n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS len FROM v WHERE len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+c AS (SELECT a.vec_id AS id, b.vec_id AS other, round(list_dot_product(a.v, b.v) / (a.len * b.len), 6) AS cosine FROM n a JOIN n b ON a.vec_id <> b.vec_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, other) AS pos FROM c WHERE cosine >= 0.9)
+"""
+
+_FULL = ("".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))))
+_PLAIN = "text"
+for _a, _b in (_FULL, ("".join(LOOK) + "ёЁїЇ", "".join(LOOK.values()) + "ëËïÏ"), ("‐‑", "--")):
+    _PLAIN = "translate({}, '{}', '{}')".format(_PLAIN, _a.replace("'", "''"), _b.replace("'", "''"))
+for _a, _b in ((r"\r\n|\r|\x{85}|\x{2028}|\x{2029}", "' || chr(10) || '"), (r"[\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]", " "), (r"[\x{ad}\x{61c}\x{180b}-\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{fe00}-\x{fe0f}\x{feff}]", ""), ("ﬁ", "fi"), ("ﬂ", "fl"), ("…", "...")):
+    _PLAIN = f"regexp_replace({_PLAIN}, '{_a}', '{_b}', 'g')"
+# The kinds of writing that the documents have, one after another; not the whole of `same_look`.
+P9_FOUND_SQL = f"""
+WITH f AS (SELECT doc_id, text, nfc_normalize({_PLAIN}) AS form FROM documents WHERE text IS NOT NULL)
+SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text
+"""
+
 QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_percentiles": p2_percentiles, "p3_found": p3_found, "p4_found": p4_found, "p7_ids": p7_ids,
     "p8_found": p8_found, "p8_shares": p8_shares, "p8_mixture": p8_mixture, "p9_found": p9_found, "p9_canonical": p9_canonical}
 ORACLES = {
+    "p1_found": P1_FOUND_SQL + "SELECT DISTINCT least(id, other) AS vec_id_a, greatest(id, other) AS vec_id_b FROM k WHERE pos <= 10",
+    "p1_neighbours": P1_FOUND_SQL + "SELECT id AS vec_id, other AS neighbour_id, cosine, cast(pos AS INTEGER) AS pos FROM k WHERE pos <= 10",
+    "p3_found": P3_FOUND_SQL,
+    "p9_found": P9_FOUND_SQL,
     "p2_percentiles": _P2,
     "p2_found": f"SELECT worker_id, cast(pct AS INTEGER) AS pct FROM ({_P2}) WHERE seconds > 20",
     "p4_found": P4_FOUND_SQL,
