@@ -24,6 +24,23 @@ def similarity_band(c: Column) -> Column:
     )
 
 
+def top_of_each(cos: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, cosine) of each row's k highest columns, rounded to 6 places; of equals the smaller ids. Columns at -inf aren't there. Only
+    what may be among them after rounding is sorted."""
+    if not cos.size:
+        return np.empty(0, np.int64), ids[:0], np.empty(0)
+    least = np.partition(cos, -k, axis=1)[:, -k] - 1e-6 if cos.shape[1] > k else np.full(len(cos), -np.inf)
+    row, col = np.nonzero(cos >= least[:, None])
+    c, i = np.round(cos[row, col], 6), ids[col]
+    there = np.isfinite(c)
+    row, c, i = row[there], c[there], i[there]
+    order = np.lexsort((i, -c, row))
+    row, c, i = row[order], c[order], i[order]
+    first = np.searchsorted(row, row)
+    keep = np.arange(len(row)) - first < k
+    return row[keep], i[keep], c[keep]
+
+
 def _best(k: int, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -32,13 +49,10 @@ def _best(k: int, dim: int):
                 qi, qv, di, dv = (np.asarray(get[c][i].values) for c in ("q_ids", "q_flat", "d_ids", "d_flat"))
                 q, d = (v.astype("f8").reshape(-1, dim) for v in (qv, dv))
                 q, d = (v / np.abs(v).max(axis=1, keepdims=True) for v in (q, d))
-                cos = np.round((q @ d.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(d, axis=1)), 6)
+                cos = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (d / np.linalg.norm(d, axis=1, keepdims=True)).T
                 cos[qi[:, None] == di] = -np.inf
-                order = np.argsort(di)  # ids ascending, then a stable sort by cosine: ties by the smaller id
-                top = order[np.argsort(-cos[:, order], axis=1, kind="stable")[:, :k]]
-                c = np.take_along_axis(cos, top, 1)
-                keep = np.isfinite(c).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, top.shape[1])[keep]), pa.array(di[top].ravel()[keep]), pa.array(c.ravel()[keep])], ["query_id", "vec_id", "cosine"])
+                row, found, c = top_of_each(cos, di, k)
+                yield pa.RecordBatch.from_arrays([pa.array(qi[row]), pa.array(found), pa.array(c)], ["query_id", "vec_id", "cosine"])
 
     return run
 
