@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mediasift.operators.retrieval import top_of_each
 from mediasift.session import cut, width
 
 SALTS = 16
@@ -274,14 +275,11 @@ def _best_in_block(dim: int, k: int, floor: float):
                 qi, di = (np.asarray(b.column(c)[i].values) for c in ("q_ids", "d_ids"))
                 q, d = (np.asarray(b.column(c)[i].values).astype("f8").reshape(-1, dim) for c in ("q_flat", "d_flat"))
                 q, d = (v / np.abs(v).max(axis=1, keepdims=True) for v in (q, d))
-                order = np.argsort(di)
-                di, d = di[order], d[order]
-                cos = np.round((q @ d.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(d, axis=1)), 6)
-                cos[(qi[:, None] == di) | (cos < floor)] = -np.inf
-                top = np.argsort(-cos, axis=1, kind="stable")[:, :k]
-                c = np.take_along_axis(cos, top, 1)
-                keep = np.isfinite(c).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, top.shape[1])[keep]), pa.array(di[top].ravel()[keep]), pa.array(c.ravel()[keep])], ["x", "y", "cosine"])
+                cos = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (d / np.linalg.norm(d, axis=1, keepdims=True)).T
+                cos[qi[:, None] == di] = -np.inf
+                row, found, c = top_of_each(cos, di, k)
+                near = c >= floor
+                yield pa.RecordBatch.from_arrays([pa.array(qi[row[near]]), pa.array(found[near]), pa.array(c[near])], ["x", "y", "cosine"])
 
     return run
 
