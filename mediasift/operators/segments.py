@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +22,8 @@ def segments(frames: DataFrame, clip: Sequence[str], dim: int, id_column: str =
     step = F.coalesce(1 / F.nullif(F.col("sample_fps"), F.lit(0.0)), F.lit(0.0))
     kept = frames.select(*clip, F.col("segment_index").alias("idx"), F.col(id_column).alias("_id"), F.col("frame_time_s").alias("start_s"), (F.col("frame_time_s") + step).alias("end_s"), F.col(vector).alias("vec"))
     kept = kept.dropna(subset=[*clip, "idx"]).where(usable(F.col("vec"), dim))
-    first = kept.groupBy(*clip, "idx").agg(F.min("_id").alias("_id"))
-    return kept.join(first, [*clip, "idx", "_id"]).drop("_id")
+    first = Window.partitionBy(*clip, "idx").orderBy("_id")
+    return kept.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_id", "_r")
 
 
 def segment_faults(frames: DataFrame, clip: Sequence[str], dim: int, id_column: str = "vec_id", vector: str = "embeddings") -> DataFrame:
@@ -38,20 +41,68 @@ def segment_faults(frames: DataFrame, clip: Sequence[str], dim: int, id_column:
     return frames.dropna(subset=list(clip)).select(*clip, F.col(id_column), reason.alias("reason")).where("reason IS NOT NULL")
 
 
-def coarse_vectors(segs: DataFrame, clip: Sequence[str], dim: int) -> DataFrame:
-    """`clip` columns, `n_segments`, `coarse` (the mean vector at length 1; unchanged if it has none).
+def _block_sums(dim: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = b.column(b.num_columns - 1)
+            sums = [flat[i].values.to_numpy(zero_copy_only=False).astype("f8").reshape(-1, dim) for i in range(b.num_rows)]
+            total = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([x.sum(axis=0) for x in sums])), dim).cast(pa.list_(pa.float64())) if sums else pa.array([], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([len(x) for x in sums], pa.int64()), total], [*b.schema.names[:-1], "n", "total"])
 
-    One sum per dimension, so the aggregate stays in codegen and combines before the shuffle.
-    """
-    sums = segs.groupBy(*clip).agg(F.count(F.lit(1)).alias("n_segments"), *(F.sum(F.col("vec")[i].cast("double")).alias(f"s{i}") for i in range(dim)))
+    return run
+
+
+def coarse_vectors(segs: DataFrame, clip: Sequence[str], dim: int) -> DataFrame:
+    """`clip` columns, `n_segments`, `coarse` (the mean vector at length 1; unchanged if it has none). Vectors are summed block by block, then the few blocks of each clip."""
+    packed = blocks(segs, clip).select(*clip, "flat")
+    kinds = ", ".join(f"`{c}` {segs.schema[c].dataType.simpleString()}" for c in clip)
+    sums = packed.mapInArrow(_block_sums(dim), f"{kinds}, n long, total array<double>")
+    sums = sums.groupBy(*clip).agg(F.sum("n").alias("n_segments"), *(F.sum(F.col("total")[i]).alias(f"s{i}") for i in range(dim)))
     mean = F.array(*(F.col(f"s{i}") / F.col("n_segments") for i in range(dim)))
     with_mean = sums.select(*clip, "n_segments", mean.alias("mean"))
     length = F.sqrt(F.aggregate("mean", F.lit(0.0), lambda s, x: s + x * x))
     return with_mean.withColumn("len", length).select(*clip, "n_segments", F.transform("mean", lambda x: x / F.when(F.col("len") > 0, F.col("len")).otherwise(1.0)).alias("coarse"))
 
 
+def _pack(n_keys: int):
+    """Rows sorted by their first columns (keys) to one row a key: lists of the rest, and of the last one's lists all values."""
+
+    def pack(t: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        ends = pa.array(np.r_[starts, t.num_rows], pa.int32())
+        vec = t.column(t.num_columns - 1)
+        if vec.offset:
+            vec = pa.concat_arrays([vec])
+        lists = [pa.ListArray.from_arrays(ends, pa.concat_arrays([t.column(i)])) for i in range(n_keys, t.num_columns - 1)]
+        flat = pa.ListArray.from_arrays(vec.offsets.take(ends), vec.values)
+        return pa.RecordBatch.from_arrays([*(t.column(i).take(pa.array(starts)) for i in range(n_keys)), *lists, flat], t.schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            new = np.zeros(t.num_rows, bool)
+            new[0] = True
+            for i in range(n_keys):
+                c = t.column(i)
+                new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(new)
+            if len(starts) > 1:
+                yield pack(t.slice(0, int(starts[-1])), starts[:-1])
+            held = t.slice(int(starts[-1]))
+        if held is not None:
+            yield pack(held, np.array([0]))
+
+    return run
+
+
 def blocks(segs: DataFrame, clip: Sequence[str], size: int = 256) -> DataFrame:
     """`clip` columns, `block`, `idxs`, `starts`, `ends`, `flat`: up to `size` consecutive segment numbers a row, with their times, and their vectors
-    end to end. However long a clip is, no row holds more."""
-    rows = segs.groupBy(*clip, F.floor(F.col("idx") / size).alias("block")).agg(F.array_sort(F.collect_list(F.struct("idx", "start_s", "end_s", "vec"))).alias("s"))
-    return rows.select(*clip, "block", F.col("s.idx").alias("idxs"), F.col("s.start_s").alias("starts"), F.col("s.end_s").alias("ends"), F.flatten("s.vec").alias("flat"))
+    end to end. However long a clip is, no row holds more, and its blocks lie in different partitions."""
+    keys = [*clip, "block"]
+    rows = segs.select(*clip, F.floor(F.col("idx") / size).alias("block"), "idx", "start_s", "end_s", "vec")
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "idx")
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys)
+    element = rows.schema["vec"].dataType.elementType.simpleString()
+    return rows.mapInArrow(_pack(len(keys)), f"{kinds}, idx array<int>, start_s array<double>, end_s array<double>, vec array<{element}>").withColumnsRenamed({"idx": "idxs", "start_s": "starts", "end_s": "ends", "vec": "flat"})

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from mediasift.functions.vectors import cosine
 from mediasift.operators.segments import blocks, coarse_vectors
+from mediasift.session import cut
 
 
 @dataclass(frozen=True)
@@ -83,10 +84,10 @@ def best_runs(hits: DataFrame, cfg: MatcherConfig) -> DataFrame:
     Ties: of offsets hit equally often that with the first candidate segment, then the smaller; of targets equally similar the first; of
     runs equally long the first.
     """
-    of_pair = Window.partitionBy(*PAIR)
-    counted = hits.groupBy(*PAIR, (F.col("t") - F.col("c")).alias("off")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("first"))
-    dominant = counted.withColumn("r", F.row_number().over(of_pair.orderBy(F.desc("n"), "first", "off"))).where("r = 1").select(*PAIR, "off")
-    near = hits.join(dominant, PAIR).where(F.abs(F.col("t") - F.col("c") - F.col("off")) <= cfg.offset_tolerance)
+    # windows on one shuffle by pair, as a join with the counts would make all hits twice
+    of_pair, of_offset = Window.partitionBy(*PAIR), Window.partitionBy(*PAIR, "off")
+    counted = hits.withColumn("off", F.col("t") - F.col("c")).withColumn("rank", F.struct(F.count(F.lit(1)).over(of_offset).alias("n"), (-F.min("c").over(of_offset)).alias("c"), (-F.col("off")).alias("off")))
+    near = counted.withColumn("off", -F.max("rank").over(of_pair)["off"]).where(F.abs(F.col("t") - F.col("c") - F.col("off")) <= cfg.offset_tolerance)
     best = near.withColumn("r", F.row_number().over(Window.partitionBy(*PAIR, "c").orderBy(F.desc(F.round("s", 12)), "t"))).where("r = 1")
     w = of_pair.orderBy("c")
     broken = F.lag("c").over(w).isNull() | (F.col("c") - F.lag("c").over(w) > cfg.max_gap) | (F.col("t") < F.lag("t").over(w))
@@ -102,7 +103,8 @@ def temporal_match(pairs: DataFrame, target_segments: DataFrame, candidate_segme
     A pair without hits, with an empty side, or that fails the coarse screen isn't matched, has score 0 and no localisation. A run
     too short is reported but isn't a match.
     """
-    screened = coarse_screen(pairs.select(*PAIR).dropna().distinct(), target_segments, candidate_segments, dim, cfg)
+    # cut, as it is read twice: one short row a pair
+    screened = cut(coarse_screen(pairs.select(*PAIR).dropna().distinct(), target_segments, candidate_segments, dim, cfg))
     hits = segment_pairs(screened.where("passed").select(*PAIR), target_segments, candidate_segments, cfg.segment_similarity)
     rows = best_runs(hits, cfg)
     folded = rows.groupBy(*PAIR).agg(
