@@ -118,3 +118,21 @@ def test_long_clips_are_compared_in_blocks(spark):
 
 def test_names_of_key_columns():
     assert TARGET == ["target_id", "target_version"] and CANDIDATE == ["candidate_id"]
+
+
+def test_blocks_hold_every_segment_once(spark):
+    from mediasift.operators.segments import blocks
+
+    rng = random.Random(9)
+    rows = [(f"c{k}", i, float(i), i + 0.5, [float(k), float(i)]) for k in range(40) for i in sorted(rng.sample(range(200), rng.randint(1, 120)))]
+    rng.shuffle(rows)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        df = spark.createDataFrame(rows, f"candidate_id string, {SEGMENT}")
+        got = [(r["candidate_id"], i, s, e, [r["flat"][2 * n], r["flat"][2 * n + 1]]) for r in blocks(df, ["candidate_id"], 7).collect() for n, (i, s, e) in enumerate(zip(r["idxs"], r["starts"], r["ends"])) if i // 7 == r["block"]]
+        assert sorted(got) == sorted(rows)
+        assert all(len(r["idxs"]) <= 7 and list(r["idxs"]) == sorted(r["idxs"]) for r in blocks(df, ["candidate_id"], 7).collect())
+        assert blocks(df.limit(0), ["candidate_id"]).count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
