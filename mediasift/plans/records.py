@@ -211,6 +211,10 @@ ORACLES = {
       r AS (SELECT *, row_number() OVER w AS k, count(*) OVER () AS n, sum(seconds) OVER () AS total, coalesce(sum(seconds) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t
         WINDOW w AS (ORDER BY created_at NULLS FIRST, target_id, target_version))
       SELECT target_id, target_version, n - k + 1 > 500 OR total - before > 3600000 AS drop FROM r""",
+    "media_metadata": f"""
+      WITH t AS (SELECT target_id, target_version, CASE WHEN json_valid(media_metadata) THEN media_metadata END AS m, {_ENDING.format(c='media_path')} AS ending FROM targets)
+      SELECT target_id, target_version, json_extract_string(m, '$.format_name') AS format_name, round(try_cast(json_extract_string(m, '$.duration_s') AS DOUBLE), 3) AS duration_s,
+        try_cast(json_extract_string(m, '$.width') AS INTEGER) AS width, try_cast(json_extract_string(m, '$.height') AS INTEGER) AS height, ending FROM t""",
     "title_overlap": r"""
       WITH x AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(target_id), '[a-z0-9]+'), lambda x: len(x) >= 3)) AS t, list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda x: len(x) >= 3)) AS d
         FROM documents WHERE target_id IS NOT NULL),
