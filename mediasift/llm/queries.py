@@ -11,6 +11,7 @@ from mediasift.llm.bpe import encode_corpus, share, token_count
 from mediasift.llm.history import replay
 from mediasift.llm.media_keys import evidence_key, trimmed, url_key
 from mediasift.llm.mixture import mix
+from mediasift.llm.nearest import nearest_vectors
 from mediasift.llm.percentiles import epoch_seconds, percentiles, value_counts
 from mediasift.llm.same_look import LOOK, canonical, look_alikes
 from mediasift.llm.similar import similar_vectors
@@ -32,10 +33,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each frame's most similar frames, with their cosine and place."""
+    """Each frame's most similar frames, with their cosine and place, of those with a cosine of 0.9 or more; `p1_nearest` has them without that bound."""
     return _neighbours(spark, sf_dir).select(F.col("id").alias("vec_id"), F.col("neighbour").alias("neighbour_id"), "cosine", "pos")
 
 
+def p1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each frame's 10 most similar frames of the whole index, however similar, with their cosine and place."""
+    near = nearest_vectors(table(spark, sf_dir, "index_frames").select("vec_id", "embeddings"), "vec_id", "embeddings", 64, k=10)
+    return near.select(F.col("id").alias("vec_id"), F.col("neighbour").alias("neighbour_id"), "cosine", "pos")
+
+
 def _durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     took = epoch_seconds(F.col("processing_completed_at")) - epoch_seconds(F.col("processing_started_at"))
     return table(spark, sf_dir, "result_records").select("worker_id", F.when(took >= 0, took).alias("took"))
@@ -175,11 +182,13 @@ WITH f AS (SELECT doc_id, text, nfc_normalize({_PLAIN}) AS form FROM documents W
 SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text
 """
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_percentiles": p2_percentiles, "p3_found": p3_found, "p4_found": p4_found, "p7_ids": p7_ids,
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p1_nearest": p1_nearest, "p2_found": p2_found, "p2_percentiles": p2_percentiles, "p3_found": p3_found, "p4_found": p4_found, "p7_ids": p7_ids,
     "p8_found": p8_found, "p8_shares": p8_shares, "p8_mixture": p8_mixture, "p9_found": p9_found, "p9_canonical": p9_canonical}
 ORACLES = {
     "p1_found": P1_FOUND_SQL + "SELECT DISTINCT least(id, other) AS vec_id_a, greatest(id, other) AS vec_id_b FROM k WHERE pos <= 10",
     "p1_neighbours": P1_FOUND_SQL + "SELECT id AS vec_id, other AS neighbour_id, cosine, cast(pos AS INTEGER) AS pos FROM k WHERE pos <= 10",
+    "p1_nearest": P1_FOUND_SQL + """, w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, other) AS pos FROM c)
+SELECT id AS vec_id, other AS neighbour_id, cosine, cast(pos AS INTEGER) AS pos FROM w WHERE pos <= 10""",
     "p3_found": P3_FOUND_SQL,
     "p9_found": P9_FOUND_SQL,
     "p2_percentiles": _P2,

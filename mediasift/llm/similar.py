@@ -314,6 +314,14 @@ def _exact(dim: int, floor: float):
     return run
 
 
+def valid_vectors(df: DataFrame, id_column: str, vector_column: str, dim: int) -> DataFrame:
+    """`id`, `vec` of the rows that have an id and `dim` finite numbers, not all zero."""
+    v = F.col(vector_column)
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > 3.4e38))
+    some = F.exists(v, lambda x: x != 0)
+    return df.where(F.col(id_column).isNotNull() & (F.size(v) == dim) & ~bad & some).select(F.col(id_column).cast("long").alias("id"), v.cast("array<float>").alias("vec"))
+
+
 def similar_vectors(df: DataFrame, id_column: str, vector_column: str, dim: int, k: int = 10, floor: float = 0.9, plan: CrossPolytope | None = None, crowd: int = DENSE) -> DataFrame:
     """`id`, `neighbour`, `cosine`, `pos`: for each vector the k most similar others with a cosine of `floor` or more (rounded to 6 places), of
     equal ones the smaller id first.
@@ -323,10 +331,7 @@ def similar_vectors(df: DataFrame, id_column: str, vector_column: str, dim: int,
     copies has the others among its neighbours. No vectors give no rows. The search is approximate: a pair is found with a
     probability that grows with its cosine. Buckets with more than `crowd` entries are searched exactly, in blocks.
     """
-    v = F.col(vector_column)
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > 3.4e38))
-    some = F.exists(v, lambda x: x != 0)
-    valid = df.where(F.col(id_column).isNotNull() & (F.size(v) == dim) & ~bad & some).select(F.col(id_column).cast("long").alias("id"), v.cast("array<float>").alias("vec"))
+    valid = valid_vectors(df, id_column, vector_column, dim)
     plan = plan or CrossPolytope.for_size(dim, df.count())
     p = 0.5 if floor <= 0 else math.acos(min(floor, 1.0)) / math.pi
     far = math.ceil(SKETCH * p + 4 * math.sqrt(SKETCH * p * (1 - p)))
