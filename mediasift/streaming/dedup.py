@@ -103,10 +103,13 @@ def _advance(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> I
         fresh, extra, _ = first_of_each(np.concatenate([fresh, _entries(pdf[~copy])]))
         if len(extra):
             yield _rows("drop", extra)
-    live, extra, unknown = first_of_each(np.concatenate([live, fresh]), old=len(live))
+    before = live
+    live, extra, ask = first_of_each(np.concatenate([before, fresh]), old=len(before))
     if len(extra):
         yield _rows("drop", extra)
-    asked = live[unknown]
+    # also where a smaller id takes a live one's place: that one's lookup didn't compare it; both are in order of digests
+    ask[~ask] = live["id"][~ask] < before["id"]
+    asked = live[ask]
     if filters and len(asked):
         asked = asked[np.logical_or.reduce([in_bloom(f, asked["h"], asked["g"]) for f in filters])]
         if len(asked):

@@ -92,6 +92,22 @@ def test_every_copy_is_dropped_however_far_apart(spark, tmp_path):
     assert {r["id"] for r in dropped(spark, f"file://{tmp_path}/out").collect()} == want | {9999}
 
 
+def test_smallest_id_after_an_archived_and_a_live_copy(spark, tmp_path):
+    import datetime
+
+    day = datetime.datetime(2026, 1, 1)
+    later = lambda n: day + datetime.timedelta(days=n)
+    # 5 goes to the archive, 7 is looked up, dropped and stays live, 3 comes last
+    rows = [[("m", 5, day, "x")], [("other", 100, later(5), "x")], [("other", 101, later(5), "x")], [("m", 7, later(6), "x")], [("m", 3, later(6), "x")]]
+    _deliveries(spark, str(tmp_path), rows)
+    stream = spark.readStream.schema("k string, id long, at timestamp, note string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    drop_redelivered(stream, [F.col("k")], "id", "at", f"file://{tmp_path}/out", "1 day", 1).awaitTermination()
+    judged = spark.read.parquet(f"{tmp_path}/out/judged")
+    batch_of = {(r["kind"], r["id"]): r["batch"] for r in judged.collect()}
+    assert batch_of["archive", 5] < batch_of["lookup", 7] and ("archive", 7) not in batch_of
+    assert {r["id"] for r in dropped(spark, f"file://{tmp_path}/out").collect()} == {5, 7, 101}
+
+
 def test_an_empty_stream_drops_nothing(spark, tmp_path):
     spark.createDataFrame([], "k string, id long, at timestamp").write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("k string, id long, at timestamp").parquet(f"{tmp_path}/in")
