@@ -15,10 +15,8 @@ from pyspark.sql import functions as F
 
 from mediasift.session import cut
 
-#: Levels of a margin that are told apart; all rarer ones share the level "other". Cells are a product of margins and
-#: sources, so the control table that goes to the driver is bounded whatever the corpus.
-LEVELS = 64
-OTHER = "other"
+#: Cells that the driver rakes: the bound of the control table that goes there. More are raked where they are.
+CELLS = 10_000
 
 
 @dataclass(frozen=True)
@@ -48,6 +46,14 @@ def _fill(w: np.ndarray, tokens: np.ndarray, cap: np.ndarray, goal: float) -> np
     return np.where(full, cap, w)
 
 
+def _places(values: list) -> dict:
+    """Where each value stands, by value in order."""
+    at: dict = {}
+    for i, v in enumerate(values):
+        at.setdefault(v, []).append(i)
+    return {v: np.array(at[v]) for v in sorted(at)}
+
+
 def rake(cells: list[tuple], tokens: np.ndarray, shares: dict[str, float], repeats: dict[str, int], rounds: int = 200, tolerance: float = 1e-9) -> Raked:
     """`cells`: (source, level, level, ...) with their tokens. Each round fits the margins of the levels, which keep the
     proportions they have in the corpus, and last the sources, whose targets are shares of all tokens of the listed
@@ -57,8 +63,9 @@ def rake(cells: list[tuple], tokens: np.ndarray, shares: dict[str, float], repea
     target = np.array([shares[s] * total for s in names])
     w = np.ones(len(cells))
     cap = np.array([float(max(repeats[c[0]], 0)) for c in cells])
-    member = [np.array([c[0] == s for c in cells], bool) for s in names]
-    margins = [[np.array([c[k] == v for c in cells], bool) for v in sorted({c[k] for c in cells})] for k in range(1, len(cells[0]) if cells else 1)]
+    of_source = _places([c[0] for c in cells])
+    member = [of_source.get(s, np.empty(0, np.int64)) for s in names]
+    margins = [list(_places([c[k] for c in cells]).values()) for k in range(1, len(cells[0]) if cells else 1)]
     goals = [[tokens[m].sum() for m in margin] for margin in margins]
     done, before = 0, w
     for done in range(1, rounds + 1):
@@ -74,15 +81,42 @@ def rake(cells: list[tuple], tokens: np.ndarray, shares: dict[str, float], repea
     return Raked(cells, w, names, target, np.array([(w * tokens)[m].sum() for m in member]), done)
 
 
-def _levelled(df: DataFrame, margins: list[str]) -> DataFrame:
-    """Each margin's LEVELS levels with most tokens; all others become one."""
-    for m in margins:
-        top = df.groupBy(m).agg(F.sum("tokens").alias("_t")).orderBy(F.desc("_t"), m).limit(LEVELS).select(F.col(m).alias("_level"))
-        df = df.join(F.broadcast(top), df[m] == top["_level"], "left").withColumn(m, F.coalesce("_level", F.lit(OTHER))).drop("_level")
-    return df
+def rake_wide(cells: DataFrame, names: list[str], plan: dict[str, tuple[float, int]], rounds: int = 200, tolerance: float = 1e-9) -> tuple[DataFrame, Raked]:
+    """`rake` for any number of cells, a table of `source`, the levels and `tokens`: the same steps, each level's cells and then each source's fitted
+    in one task. The table of cells with `_w` and `_cap`, and the sums by source."""
+    have = {r["source"]: float(r["t"] or 0) for r in cells.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
+    total = sum(have.values())
+    target = {s: p[0] * total for s, p in plan.items()}
+    size = sum(min(target[s], max(p[1], 0) * have.get(s, 0.0)) for s, p in plan.items()) / total if total else 0.0
+    caps = cells.sparkSession.createDataFrame([(s, max(p[1], 0)) for s, p in plan.items()], "source string, _cap int")
+    columns = ["source", *names, "tokens", "_cap", "_w", "_before"]
+    fields = ", ".join(f"{n} string" for n in ["source", *names]) + ", tokens double, _cap int, _w double, _before double"
+
+    def fitted(column: str):
+        def run(g):
+            tokens = g["tokens"].to_numpy(float)
+            goal = target[g["source"].iloc[0]] if column == "source" else tokens.sum() * size
+            return g.assign(_w=_fill(g["_w"].to_numpy(float), tokens, g["_cap"].to_numpy(float), goal))[columns]
+
+        return run
+
+    now = cells.join(F.broadcast(caps), "source").withColumns({"tokens": F.coalesce(F.col("tokens").cast("double"), F.lit(0.0)), "_w": F.lit(1.0), "_before": F.lit(1.0)}).select(*columns)
+    done = 0
+    for done in range(1, rounds + 1):
+        now = now.withColumn("_before", F.col("_w"))
+        for column in [*names, "source"]:
+            now = now.groupBy(column).applyInPandas(fitted(column), fields)
+        now = cut(now)
+        change = now.agg(F.max(F.abs(F.col("_w") - F.col("_before")))).first()[0]
+        if change is None or change <= tolerance:
+            break
+    got = {r["source"]: r["t"] for r in now.groupBy("source").agg(F.sum(F.col("_w") * F.col("tokens")).alias("t")).collect()}
+    sources = sorted(plan)
+    sums = Raked([], np.empty(0), sources, np.array([target[s] for s in sources]), np.array([got.get(s, 0.0) for s in sources]), done)
+    return now.select("source", *names, "_w", "_cap"), sums
 
 
-def mix(documents: DataFrame, weights: DataFrame, id_column: str, source: Column, tokens: Column, margins: dict[str, Column], seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, weights: DataFrame, id_column: str, source: Column, tokens: Column, margins: dict[str, Column], seed: int = 7, most_cells: int = CELLS) -> tuple[DataFrame, DataFrame]:
     """Two tables: `id_column`, `source`, `tokens` and `copies` of each document that is in the mixture, and the report by source:
     `source`, `target_share`, `max_repeats`, `tokens` (available), `target_tokens`, `capped_tokens` (the most that repeats
     allow), `raked_tokens`, `mixed_tokens`, `actual_share`, `reachable`.
@@ -91,25 +125,28 @@ def mix(documents: DataFrame, weights: DataFrame, id_column: str, source: Column
     documents reaches nothing. A null share or cap counts as 0, of a source listed twice the shares add up and the larger
     cap holds. Null sources match nothing; null levels of a margin are a level. Documents without tokens are in no mixture. A document gets the
     integer part of its weight as copies, and one more with the probability of the rest, decided by a hash of its id: the
-    same in every run, and never more than the source's cap.
+    same in every run, and never more than the source's cap. Every level of a margin is told apart; up to `most_cells` cells are raked by the driver, more by Spark.
     """
     listed = weights.groupBy("source").agg(F.sum(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(0))).alias("max_repeats")).where("source IS NOT NULL")
     plan = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in listed.collect()}
     names = list(margins)
     base = documents.select(F.col(id_column), source.alias("source"), tokens.cast("long").alias("tokens"), *(F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in margins.items()))
-    # cut, as each margin reads it once more, and counting tokens is costly
-    listed_only = cut(base.join(F.broadcast(listed.select("source")), "source"))
-    counted = cut(_levelled(listed_only, names))
-    table = counted.groupBy("source", *names).agg(F.sum("tokens").alias("tokens")).orderBy("source", *names).collect()
-    cells, size = [tuple(r[:-1]) for r in table], np.array([float(r["tokens"] or 0) for r in table])
-    raked = rake(cells, size, {s: p[0] for s, p in plan.items()}, {s: p[1] for s, p in plan.items()})
+    # cut, as it is read several times, and counting tokens is costly
+    counted = cut(base.join(F.broadcast(listed.select("source")), "source"))
+    table = counted.groupBy("source", *names).agg(F.sum("tokens").alias("tokens"))
     spark = documents.sparkSession
-    fields = ", ".join(f"{n} string" for n in ["source", *names])
-    by_cell = spark.createDataFrame([(*c, float(w), plan[c[0]][1]) for c, w in zip(cells, raked.weights)], f"{fields}, _w double, _cap int")
+    rows = table.limit(most_cells + 1).collect()
+    if len(rows) > most_cells:
+        by_cell, raked = rake_wide(table, names, plan)
+    else:
+        rows = sorted(tuple(r) for r in rows)
+        cells, size = [r[:-1] for r in rows], np.array([float(r[-1] or 0) for r in rows])
+        raked = rake(cells, size, {s: p[0] for s, p in plan.items()}, {s: p[1] for s, p in plan.items()})
+        fields = ", ".join(f"{n} string" for n in ["source", *names])
+        by_cell = F.broadcast(spark.createDataFrame([(*c, float(w), plan[c[0]][1]) for c, w in zip(cells, raked.weights)], f"{fields}, _w double, _cap int"))
     u = (F.xxhash64(F.col(id_column), F.lit(seed)).bitwiseAND(F.lit(2**53 - 1))) / F.lit(float(2**53))
     copies = F.least(F.floor("_w") + (u < F.col("_w") - F.floor("_w")).cast("long"), F.col("_cap"))
-    # at most LEVELS + 1 levels a margin and the listed sources: the bound that makes this a broadcast
-    drawn = counted.where("tokens > 0").join(F.broadcast(by_cell), ["source", *names]).withColumn("copies", copies.cast("int"))
+    drawn = counted.where("tokens > 0").join(by_cell, ["source", *names]).withColumn("copies", copies.cast("int"))
     mixed = drawn.where("copies > 0").select(id_column, "source", "tokens", "copies")
     got = counted.groupBy("source").agg(F.sum("tokens").alias("tokens")).alias("a")
     rows = [(s, plan[s][0], plan[s][1], float(t), float(r), bool(r >= t * (1 - 1e-9))) for s, t, r in zip(raked.sources, raked.target, raked.reached)]

@@ -38,3 +38,36 @@ def test_documents_by_weight(spark):
     assert copies == {r["doc_id"]: r["copies"] for r in mix(df, weights, "doc_id", F.col("source"), F.col("size"), {"language": F.col("lang")})[0].collect()}
     empty, report = mix(df.limit(0), weights, "doc_id", F.col("source"), F.col("size"), {"language": F.col("lang")})
     assert empty.count() == 0 and report.count() == 3
+
+
+def test_raking_in_spark_equals_that_by_the_driver(spark):
+    rows = [(i, "ab"[i % 2], "other" if i % 90 == 89 else f"l{i % 90:02}", 100 - i % 90) for i in range(1800)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, size int")
+    weights = spark.createDataFrame([("a", 0.7, 3), ("b", 0.3, 3)], "source string, target_share double, max_repeats int")
+    moved = df.withColumn("source", F.when(F.col("doc_id") >= 900, F.when(F.col("source") == "a", "b").otherwise("a")).otherwise(F.col("source")))
+    mixed, report = mix(moved, weights, "doc_id", F.col("source"), F.col("size"), {"language": F.col("lang")})
+    wide, wide_report = mix(moved, weights, "doc_id", F.col("source"), F.col("size"), {"language": F.col("lang")}, most_cells=20)
+    assert sorted(map(tuple, mixed.collect())) == sorted(map(tuple, wide.collect()))
+    for a, b in zip(*(sorted(map(tuple, r.collect())) for r in (report, wide_report))):
+        assert all(x == y or abs(x - y) < 1e-6 * abs(x) for x, y in zip(a, b) if not isinstance(x, str))
+
+
+def test_rare_levels_keep_their_own_margin(spark):
+    # the rarest levels differ in their sources: as one pooled level each would get the pool's mix of weights
+    rows, n = [], 0
+    for level in range(80):
+        for s, count in (("a", 12 if level % 2 else 2), ("b", 2 if level % 2 else 12)):
+            for _ in range(count):
+                rows.append((n, s, f"l{level:02}", 10 if level < 64 else 1))
+                n += 1
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, size int")
+    weights = spark.createDataFrame([("a", 0.7, 50), ("b", 0.3, 50)], "source string, target_share double, max_repeats int")
+    for most in (10_000, 100):
+        mixed, _ = mix(df, weights, "doc_id", F.col("source"), F.col("size") * 100, {"language": F.col("lang")}, most_cells=most)
+        language = {r[0]: r[2] for r in rows}
+        got = {}
+        for r in mixed.collect():
+            key = int(language[r["doc_id"]][1:]) % 2 if int(language[r["doc_id"]][1:]) >= 64 else None
+            got[key] = got.get(key, 0) + r["tokens"] * r["copies"]
+        # 8 rare levels of either kind, all of 1400 tokens
+        assert abs(got[0] / 11_200 - 1) < 0.15 and abs(got[1] / 11_200 - 1) < 0.15
