@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -126,3 +126,21 @@ def error_kind(name: Column) -> Column:
     """The kind of an error; unclassified for unknown names and null."""
     table = F.create_map(*(F.lit(x) for kv in ERROR_KINDS.items() for x in kv))
     return F.coalesce(table[F.coalesce(name, F.lit(""))], F.lit("unclassified"))
+
+
+def onion(url: Column) -> Column:
+    """Whether an address leads to a host that only Tor reaches: such are rejected where that is off."""
+    return F.coalesce(host(url).endswith(".onion"), F.lit(False))
+
+
+def unknown_techniques(techniques: Column, known: Sequence[str]) -> Column:
+    """The names, in order and once each, that aren't known; white space around them and letter case don't count, nor do blank ones."""
+    names = F.array_sort(F.array_distinct(F.filter(F.transform(techniques, lambda t: F.lower(F.trim(t))), lambda t: t != "")))
+    return F.filter(names, lambda t: ~t.isin(list(known)))
+
+
+def technique_fault(techniques: Column, known: Sequence[str]) -> Column:
+    """Why a list of techniques is an error: unknown names, or none but blank ones; null if it is right. No list or an empty one means all."""
+    unknown = unknown_techniques(techniques, known)
+    blank = (F.size(techniques) > 0) & ~F.exists(techniques, lambda t: F.coalesce(F.trim(t) != "", F.lit(False)))
+    return F.when(F.size(unknown) > 0, F.concat(F.lit("Unknown techniques: "), F.array_join(unknown, ", "))).when(blank, "At least one technique must be enabled")

@@ -50,3 +50,62 @@ def spec_key(spec: Mapping[str, object]) -> str:
 def cache_key(target_id: Column, target_version: Column, content_sha256: Column, spec: str) -> Column:
     """The identity of one cached representation: target, content and specification."""
     return F.sha2(json_object({"target_id": json_text(target_id), "target_version": json_text(target_version), "content_sha256": json_text(content_sha256), "spec_key": F.lit(json.dumps(spec))}), 256)
+
+
+def legacy_cache_key(path: Column, size: Column, mtime_ns: Column, model: Column, fps: Column, algorithm: str) -> Column:
+    """SHA-1 of a file's path, size and time, the model, frame rate (5 places) and algorithm, joined by bars; null if one of them is."""
+    parts = [path, size.cast("string"), mtime_ns.cast("string"), model, F.format_string("fps=%.5f", fps.cast("double")), F.lit(f"algo={algorithm}")]
+    there = path.isNotNull() & size.isNotNull() & mtime_ns.isNotNull() & model.isNotNull() & fps.isNotNull()
+    return F.when(there, F.sha1(F.concat_ws("|", *parts)))
+
+
+UNIT = "\x1f"
+
+
+def index_member(target_id: Column, target_version: Column) -> Column:
+    """A target and its version as one text."""
+    return F.concat(target_id, F.lit(UNIT), target_version)
+
+
+def index_member_parts(member: Column) -> tuple[Column, Column]:
+    """Target and version of `index_member`, split at the first unit separator; null without one."""
+    at = F.instr(member, UNIT)
+    return F.when(at > 0, F.substring(member, F.lit(1), at - 1)), F.when(at > 0, F.substring(member, at + 1, F.length(member)))
+
+
+#: Names of the keys that the reference keeps; `{}` stands for each part in turn.
+KEYS = {
+    "stream": "fingerprint:jobs:stream:{}", "state": "fingerprint:job:{}:state", "retry": "fingerprint:retry:delayed:{}", "result": "fingerprint:job:{}:result", "results_stream": "fingerprint:results:stream:{}",
+    "target": "fingerprint:target:{}:{}", "target_content": "fingerprint:target:content:{}", "target_embeddings": "fingerprint:target:{}:{}:embeddings", "target_segment_embeddings": "fingerprint:target:{}:{}:segment_embeddings",
+    "target_lock": "fingerprint:lock:target:{}", "submission": "fingerprint:submission:{}", "marker": "{}.marker",
+}
+
+
+def named_key(kind: str, *parts: Column) -> Column:
+    """A key of `KEYS` from its parts; null if one is."""
+    pieces = KEYS[kind].split("{}")
+    if len(pieces) != len(parts) + 1:
+        raise ValueError(f"{kind} has {len(pieces) - 1} parts")
+    return F.concat(F.lit(pieces[0]), *(x for p, rest in zip(parts, pieces[1:]) for x in (p, F.lit(rest))))
+
+
+def asset_file_name(asset_id: Column, url: Column) -> Column:
+    """asset_ID with the ending of the address's path as written, .bin without one."""
+    path = F.regexp_replace(F.regexp_replace(F.coalesce(url, F.lit("")), r"(?s)[?#].*$", ""), r"^\w+://[^/]*", "")
+    name = F.regexp_extract(path, r"([^/]*)/*\z", 1)
+    suffix = F.regexp_extract(name, r"^\.*[^.].*(\.[^.]+)\z", 1)
+    return F.concat(F.lit("asset_"), asset_id.cast("string"), F.when(suffix == "", ".bin").otherwise(suffix))
+
+
+def queue_task_key(asset_id: Column) -> Column:
+    return F.concat(F.lit("queue_asset:"), asset_id.cast("string"))
+
+
+def file_task_key(candidate_path: Column, target_path: Column, techniques: Column) -> Column:
+    """Paths are taken as resolved; no target is empty, and techniques are a set, in order."""
+    return F.concat(F.lit("file:"), candidate_path, F.lit("|target:"), F.coalesce(target_path, F.lit("")), F.lit("|techniques:"), F.array_join(F.array_sort(F.array_distinct(techniques)), ","))
+
+
+def synthetic_asset_id(key: Column) -> Column:
+    """2,000,000,000 and the first 32 bits of the key's SHA-1."""
+    return F.lit(2_000_000_000).cast("long") + F.conv(F.substring(F.sha1(key), 1, 8), 16, 10).cast("long")

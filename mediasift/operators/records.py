@@ -80,6 +80,14 @@ def latency_summary(df: DataFrame, group: Sequence[str], value: str, order: Sequ
     return whole.join(samples.select(*group, at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), n.alias("sample_window")), list(group))
 
 
+def sample_spread(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """Per group `count`, exact `median`, population `stdev` and a `warning` where fewer than 10 or 30 samples say little. Null samples don't count."""
+    x = df.where(F.col(value).isNotNull()).dropna(subset=list(group)).groupBy(*group)
+    out = x.agg(F.count(F.lit(1)).alias("count"), F.median(value).alias("median"), F.stddev_pop(value).alias("stdev"))
+    few = F.concat(F.lit("n="), F.col("count").cast("string"))
+    return out.withColumn("warning", F.when(F.col("count") < 10, F.concat(few, F.lit(" is too small for p95/p99 to be statistically meaningful; reported for completeness only"))).when(F.col("count") < 30, F.concat(few, F.lit(" is small; p99 in particular should be treated as indicative, not precise"))))
+
+
 def backoff_seconds(attempt: Column, base: float = 1.0, most: float = 60.0) -> Column:
     """Seconds to wait after an attempt: doubling from the base, up to the most."""
     return F.least(F.lit(most), F.lit(base) * F.pow(F.lit(2.0), F.least(attempt - 1, F.lit(60))))

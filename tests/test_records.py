@@ -130,3 +130,27 @@ def test_search_in_blocks(spark):
 
 def rows_nan():
     return [float("nan"), 1.0, 1.0, 1.0]
+
+
+def test_legacy_and_named_keys(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    L = F.lit
+    assert one(K.legacy_cache_key(L("/a/b"), L(12), L(34), L("m"), L(2.5), "v1")) == hashlib.sha1(b"/a/b|12|34|m|fps=2.50000|algo=v1").hexdigest()
+    assert one(K.legacy_cache_key(L("/a/b"), L(None), L(34), L("m"), L(2.5), "v1")) is None
+    t, v = K.index_member_parts(K.index_member(L("a:b"), L("1\x1f2")))
+    assert (one(t), one(v)) == ("a:b", "1\x1f2") and one(K.index_member_parts(L("ab"))[0]) is None
+    assert one(K.named_key("target_embeddings", L("t"), L("v"))) == "fingerprint:target:t:v:embeddings" and one(K.named_key("marker", L("/o"))) == "/o.marker"
+    urls = ["https://a.test/x/b.MP4?c=d.e", "https://a.test", "https://a.test/.hidden", "https://a.test/v.tar.gz#x.y", "https://a.test/b."]
+    assert column(spark, urls, "string", lambda u: K.asset_file_name(L(7), u)) == ["asset_7.MP4", "asset_7.bin", "asset_7.bin", "asset_7.gz", "asset_7.bin"]
+    assert one(K.file_task_key(L("/c"), L(None), F.array(L("b"), L("a"), L("b")))) == "file:/c|target:|techniques:a,b" and one(K.queue_task_key(L(5))) == "queue_asset:5"
+    assert one(K.synthetic_asset_id(L("k"))) == 2_000_000_000 + int(hashlib.sha1(b"k").hexdigest()[:8], 16)
+
+
+def test_onion_techniques_and_spread(spark):
+    assert column(spark, ["http://Abc.ONION/x", "http://a.test/b.onion", None], "string", G.onion) == [True, False, False]
+    lists = [["Dinov2 ", "ocr"], ["zz", " AA", "zz", None], [" ", ""], [], None]
+    assert column(spark, lists, "array<string>", lambda t: G.technique_fault(t, ["dinov2", "ocr"])) == [None, "Unknown techniques: aa, zz", "At least one technique must be enabled", None, None]
+    rows = [("a", float(i)) for i in range(4)] + [("b", float(i)) for i in range(29)] + [("c", float(i)) for i in range(30)] + [("d", 5.0), ("a", None)]
+    got = {r["g"]: r for r in R.sample_spread(spark.createDataFrame(rows, "g string, v double"), ["g"], "v").collect()}
+    assert (got["a"]["count"], got["a"]["median"], round(got["a"]["stdev"], 6)) == (4, 1.5, 1.118034) and got["d"]["stdev"] == 0.0
+    assert got["a"]["warning"].startswith("n=4 is too small") and got["b"]["warning"].startswith("n=29 is small") and got["c"]["warning"] is None
