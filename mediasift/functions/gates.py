@@ -21,9 +21,40 @@ VIDEO_ENDINGS = ["avi", "flv", "m4v", "mkv", "mov", "mp4", "mpeg", "mpg", "ts",
 IMAGE_ENDINGS = ["bmp", "gif", "jpeg", "jpg", "png", "svg", "tif", "tiff", "webp"]
 # Kinds of errors, by the name of the error.
 ERROR_KINDS = {
-    "ConnectionTimeoutError": "transient_acquisition_failure", "ReadTimeoutError": "transient_acquisition_failure", "NetworkError": "transient_acquisition_failure",
-    "RateLimitedError": "transient_acquisition_failure", "UnsupportedSchemeError": "permanent_acquisition_failure", "NotFoundError": "permanent_acquisition_failure",
-    "GoneError": "permanent_acquisition_failure", "ClientError": "permanent_acquisition_failure", "UnsafeDestinationError": "permanent_acquisition_failure",
+    "TransientAcquisitionError": "transient_acquisition_failure",
+    "PermanentAcquisitionError": "permanent_acquisition_failure",
+    "UnsupportedSchemeError": "permanent_acquisition_failure",
+    "ConnectionTimeoutError": "transient_acquisition_failure",
+    "ReadTimeoutError": "transient_acquisition_failure",
+    "NetworkError": "transient_acquisition_failure",
+    "RedirectLimitExceededError": "permanent_acquisition_failure",
+    "UnsafeDestinationError": "permanent_acquisition_failure",
+    "NotFoundError": "permanent_acquisition_failure",
+    "GoneError": "permanent_acquisition_failure",
+    "ClientError": "permanent_acquisition_failure",
+    "RateLimitedError": "transient_acquisition_failure",
+    "ServerError": "transient_acquisition_failure",
+    "UnexpectedStatusError": "permanent_acquisition_failure",
+    "UnsupportedContentTypeError": "permanent_acquisition_failure",
+    "SizeLimitExceededError": "permanent_acquisition_failure",
+    "InvalidMediaError": "media_validation_failure",
+    "UnsupportedMediaError": "media_validation_failure",
+    "ModelLoadError": "embedding_failure",
+    "DeviceUnavailableError": "embedding_failure",
+    "InferenceError": "embedding_failure",
+    "KeyError": "malformed_job",
+    "UnsupportedTechnique": "malformed_job",
+    "JobValidationError": "malformed_job",
+    "TimeoutError": "redis_coordination_failure",
+}
+# Errors that are worth another attempt; a lost store counts among them, though it has no kind.
+TRANSIENT = ["TransientAcquisitionError", "ConnectionTimeoutError", "ReadTimeoutError", "NetworkError", "RateLimitedError", "ServerError", "TimeoutError", "SharedArtifactStoreError"]
+# Errors of embedding, which count by the side they came up on: a candidate's is its result, a target's is tried again or not.
+EMBEDDING_RETRY = {"UnsupportedMediaError": "permanent", "InferenceError": "transient", "ModelLoadError": "startup", "DeviceUnavailableError": "startup"}
+# Types that a file's ending stands for.
+MIME_TYPES = {
+    "avi": "video/x-msvideo", "m4v": "video/x-m4v", "mkv": "video/x-matroska", "mov": "video/quicktime", "mp4": "video/mp4", "mpeg": "video/mpeg", "mpg": "video/mpeg", "webm": "video/webm",
+    "bmp": "image/bmp", "gif": "image/gif", "jpeg": "image/jpeg", "jpg": "image/jpeg", "png": "image/png", "svg": "image/svg+xml", "tif": "image/tiff", "tiff": "image/tiff", "webp": "image/webp",
 }
 
 
@@ -69,8 +100,16 @@ def unsafe_address(address: Column) -> Column:
 
 
 def safe_destination(addresses: Column) -> Column:
-    """Whether a host resolved to at least one address, and all of them are public. Dotted addresses only."""
-    return F.coalesce((F.size(addresses) > 0) & ~F.exists(addresses, lambda a: F.coalesce(unsafe_ipv4(a), F.lit(True))), F.lit(False))
+    """Whether a host resolved to at least one address, and all of them, IPv4 or IPv6, are public. Lists of dotted addresses stay in the JVM; those with others go to Arrow batches."""
+
+    @F.pandas_udf("boolean")
+    def mixed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for lists in parts:
+            yield lists.map(lambda a: None if a is None else len(a) > 0 and not any(x is None or _unsafe(x) for x in a))
+
+    dotted = ~F.exists(addresses, lambda a: ipv4_number(a).isNull())
+    public = (F.size(addresses) > 0) & ~F.exists(addresses, lambda a: F.coalesce(unsafe_ipv4(a), F.lit(True)))
+    return F.coalesce(F.when(dotted, public).otherwise(mixed(F.when(~dotted, addresses))), F.lit(False))
 
 
 def stripped(c: Column) -> Column:
@@ -123,9 +162,30 @@ def host(url: Column) -> Column:
 
 
 def error_kind(name: Column) -> Column:
-    """The kind of an error; unclassified for unknown names and null."""
+    """The kind of an error; unclassified_error for unknown names and null."""
     table = F.create_map(*(F.lit(x) for kv in ERROR_KINDS.items() for x in kv))
-    return F.coalesce(table[F.coalesce(name, F.lit(""))], F.lit("unclassified"))
+    return F.coalesce(table[F.coalesce(name, F.lit(""))], F.lit("unclassified_error"))
+
+
+def retry_class(name: Column, side: Column) -> Column:
+    """What becomes of a job after an error on a `side` (candidate or target): `result` (a failure is the candidate's result), `transient`, `permanent`,
+    `rejected` (never tried again) or `startup`. Unknown names and null are permanent; a null side counts as target."""
+    embedding = F.create_map(*(F.lit(x) for kv in EMBEDDING_RETRY.items() for x in kv))[F.coalesce(name, F.lit(""))]
+    on_candidate = F.coalesce(side == "candidate", F.lit(False)) & embedding.isin("permanent", "transient")
+    return (
+        F.when(on_candidate, "result").when(embedding.isNotNull(), embedding).when(name.isin(TRANSIENT), "transient").when(name == "JobValidationError", "rejected").otherwise("permanent")
+    )
+
+
+def mime_type(url: Column) -> Column:
+    """The type that the ending of an address or path stands for; video/mp4 without a known one."""
+    table = F.create_map(*(F.lit(x) for kv in MIME_TYPES.items() for x in kv))
+    return F.coalesce(table[ending(url)], F.lit("video/mp4"))
+
+
+def too_short(duration: Column, least: float) -> Column:
+    """Whether a length in seconds is below `least`; never where the length is null or NaN, nor with a negative `least` (-1 turns the gate off)."""
+    return F.lit(False) if least < 0 else F.coalesce((duration < least) & ~F.isnan(duration.cast("double")), F.lit(False))
 
 
 def onion(url: Column) -> Column:

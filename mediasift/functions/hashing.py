@@ -22,10 +22,25 @@ def hash_similarity(a: Column, b: Column) -> Column:
     return F.when(F.coalesce(fits, F.lit(False)), 1.0 - apart / (4.0 * F.length(a))).otherwise(0.0)
 
 
-def sign_digest(v: Column, bits: int) -> Column:
-    """A hex digest of 32 or 64 bits: which of the first numbers are positive, the first number as the lowest bit of each 32."""
-    half = lambda at: F.lower(F.lpad(F.hex(sum(F.when(v[at + i] > 0, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(32))), 8, "0"))
-    return F.concat(*(half(at) for at in range(0, bits, 32)))
+def digest_bits(digest: Column) -> Column:
+    """A hex digest of 16 digits as a 64-bit number; null if it isn't one. To be made once a segment, before segments meet."""
+    good = digest.rlike("^[0-9A-Fa-f]{16}\\z")
+    return F.when(good, F.shiftleft(_half(digest, 1), 32).bitwiseOR(_half(digest, 9)))
+
+
+def hex_digest(bits: Column) -> Column:
+    """The 16 hex digits of a 64-bit number."""
+    return F.lower(F.lpad(F.hex(bits), 16, "0"))
+
+
+def sign_bits(v: Column) -> Column:
+    """Which of the first 64 numbers are positive: the first number is the lowest bit of the upper half, the 33rd that of the lower one."""
+    place = [32 + i if i < 32 else i - 32 for i in range(64)]
+    one = [F.lit((1 << p) - (1 << 64 if p == 63 else 0)).cast("long") for p in place]
+    bits = F.lit(0).cast("long")
+    for i in range(64):
+        bits = bits.bitwiseOR(F.when(v[i] > 0, one[i]).otherwise(F.lit(0).cast("long")))
+    return bits
 
 
 def majority_digest(df: DataFrame, group: list[str], digest: str) -> DataFrame:
@@ -53,54 +68,67 @@ def zero_crossings(v: Column) -> Column:
     return F.when(F.size(v) > 1, F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x) / (F.size(v) - 1)).otherwise(0.0)
 
 
-def block_digests(frames: np.ndarray, grid: int = 8, least_spread: float = 4.0) -> list[str]:
-    """Digest of each gray frame (n, height, width): which blocks of a grid are brighter than the frame; empty for near-uniform frames."""
-    n, h, w = frames.shape
-    gh, gw = h // grid, w // grid
-    if not n or not gh or not gw:
-        return [""] * n
-    means = frames[:, : gh * grid, : gw * grid].astype("f8").reshape(n, grid, gh, grid, gw).mean(axis=(2, 4)).reshape(n, -1)
-    lit = np.packbits(means > means.mean(axis=1, keepdims=True), axis=1)
-    return [x.tobytes().hex() if s >= least_spread else "" for x, s in zip(lit, means.std(axis=1))]
-
-
-def band_digest(samples: np.ndarray, rate: int, bands: int = 32) -> str:
-    """Digest of a piece of sound: which log-spaced bands (60 Hz to 4 kHz) hold at least the mean share of its energy; empty if too short or silent."""
-    n = len(samples)
-    if n < 64:
-        return ""
-    power = np.abs(np.fft.rfft(samples * np.hanning(n))) ** 2
+def frame_digest(pixels: Column, height: int, width: int, grid: int = 8, least_spread: float = 4.0) -> Column:
+    """Digest of a gray frame, an array of its values row by row: a bit per block of a grid, from the first block down, that tells whether the block's mean is above the mean of all
+    blocks. Rows and columns beyond whole blocks don't count. Empty for near-uniform frames (population deviation of the blocks' means below `least_spread`), arrays of another size,
+    frames smaller than the grid, and null."""
+    high, wide = height // grid, width // grid
+    if not high or not wide:
+        return F.lit("")
+    once = lambda value, then: F.transform(F.array(value), then)[0]  # noqa: E731  (an expression that is named, so that it is made once)
+    line = lambda p, at: F.aggregate(F.slice(p, at + 1, F.lit(wide)), F.lit(0.0), lambda s, x: s + x.cast("double"))
+    corner = lambda b: F.floor(b / grid).cast("int") * (high * width) + F.pmod(b, F.lit(grid)) * wide
+    means = lambda p: F.transform(F.sequence(F.lit(0), F.lit(grid * grid - 1)), lambda b: sum((line(p, corner(b) + y * width) for y in range(high)), F.lit(0.0)) / (high * wide))
+    mean = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x)) / (grid * grid)
+    digit = lambda m, level, d: F.aggregate(F.slice(m, d * 4 + 1, F.lit(4)), F.lit(0), lambda s, x: s * 2 + (x > level).cast("int"))
+    text = lambda m, level: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(grid * grid // 4 - 1)), lambda d: F.lower(F.hex(digit(m, level, d).cast("long")))), "")
+    varied = lambda m, level: F.sqrt(mean(m, lambda x: (x - level) * (x - level))) >= least_spread
+    digest = lambda p: once(means(p), lambda m: once(mean(m, lambda x: x), lambda level: F.when(varied(m, level), text(m, level)).otherwise("")))
+    return once(pixels, lambda p: F.when(F.size(p) == height * width, digest(p)).otherwise(""))
+
+
+#: Sound bands lie between these frequencies, in Hz; a piece has at least so many samples and so much energy.
+LOWEST, HIGHEST, LEAST_SAMPLES, SILENCE = 60.0, 4000.0, 64, 1e-10
+
+
+def band_table(n: int, rate: int, bands: int = 32) -> list[int]:
+    """The first frequency bin of each sound band, and the end of the last, for pieces of n samples: a geometric row of bins, rounded; bands that would be empty are left out."""
+    if n < LEAST_SAMPLES:
+        return []
     per = rate / n
-    low, high = max(1, int(60.0 / per)), min(len(power) - 1, int(min(4000.0, rate / 2 - per) / per))
-    if high <= low:
-        return ""
-    edges = np.unique(np.round(np.geomspace(low, high, bands + 1)).astype(int))
-    energy = np.zeros(bands)
-    sums = np.add.reduceat(power[: edges[-1]], edges[:-1])
-    energy[: len(sums)] = sums
-    total = energy.sum()
-    return np.packbits(energy / total >= 1 / bands).tobytes().hex() if total >= 1e-10 else ""
-
-
-def frame_digest(pixels: Column, height: int, width: int) -> Column:
-    """`block_digests` of arrays of gray values, row by row; empty for arrays of another size and for null."""
-
-    @F.pandas_udf("string")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for arrays in parts:
-            good = [a is not None and len(a) == height * width for a in arrays]
-            found = iter(block_digests(np.stack([np.asarray(a, "f8") for a, g in zip(arrays, good) if g]).reshape(-1, height, width)) if any(good) else [])
-            yield pd.Series([next(found) if g else "" for g in good])
-
-    return run(pixels)
+    first, last = max(1, int(LOWEST / per)), min(n // 2, int(min(HIGHEST, rate / 2 - per) / per))
+    if last <= first:
+        return []
+    return sorted({round(first * (last / first) ** (k / bands)) for k in range(bands + 1)})
+
+
+def sound_digests(pieces: np.ndarray, rate: int, bands: int = 32) -> list[str]:
+    """Digest of each row of samples: which bands of `band_table` hold at least the mean share of the energy. Empty for what is too short or silent."""
+    table = band_table(pieces.shape[1], rate, bands)
+    if not table:
+        return [""] * len(pieces)
+    tapered = pieces * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(pieces.shape[1]) / (pieces.shape[1] - 1)))
+    turned = np.fft.rfft(tapered, axis=1)
+    power = turned.real**2 + turned.imag**2
+    below = np.concatenate([np.zeros((len(power), 1)), np.cumsum(power, axis=1)], axis=1)  # energy below each bin
+    in_band = np.diff(below[:, table], axis=1)
+    whole = below[:, table[-1]] - below[:, table[0]]
+    weights = 1 << np.arange(bands - 1, bands - 1 - in_band.shape[1], -1, dtype=np.int64)
+    number = ((in_band * bands >= whole[:, None]) * weights).sum(axis=1)
+    return [f"{b:0{bands // 4}x}" if e >= SILENCE else "" for b, e in zip(number.tolist(), whole)]
 
 
 def sound_digest(samples: Column, rate: int) -> Column:
-    """`band_digest` of arrays of samples; empty for null."""
+    """`sound_digests` of arrays of samples; empty for null and for arrays with a null in them."""
 
     @F.pandas_udf("string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for arrays in parts:
-            yield pd.Series(["" if a is None else band_digest(np.asarray(a, "f8"), rate) for a in arrays])
+            out = pd.Series([""] * len(arrays), index=arrays.index, dtype=object)
+            there = arrays.dropna()
+            there = there[[not pd.isna(a).any() for a in there]] if len(there) else there
+            for _, same in there.groupby(there.map(len)) if len(there) else []:
+                out[same.index] = sound_digests(np.stack([np.asarray(a, "f8") for a in same]), rate)
+            yield out
 
     return run(samples)

@@ -109,3 +109,15 @@ def file_task_key(candidate_path: Column, target_path: Column, techniques: Colum
 def synthetic_asset_id(key: Column) -> Column:
     """2,000,000,000 and the first 32 bits of the key's SHA-1."""
     return F.lit(2_000_000_000).cast("long") + F.conv(F.substring(F.sha1(key), 1, 8), 16, 10).cast("long")
+
+
+def clock(seconds: Column) -> Column:
+    """Seconds as HH:MM:SS.mmm; hours go on beyond 99, null stays null."""
+    ms = F.round(seconds.cast("double") * 1000).cast("long")
+    return F.when(ms.isNotNull(), F.format_string("%02d:%02d:%02d.%03d", F.floor(ms / 3_600_000), F.pmod(F.floor(ms / 60_000), F.lit(60)), F.pmod(F.floor(ms / 1000), F.lit(60)), F.pmod(ms, F.lit(1000))))
+
+
+def file_url(path: Column) -> Column:
+    """An absolute path as a file address, each part escaped."""
+    parts = F.transform(F.split(path, "/"), lambda p: F.replace(F.url_encode(p), F.lit("+"), F.lit("%20")))
+    return F.concat(F.lit("file://"), F.array_join(parts, "/"))

@@ -54,7 +54,8 @@ def eager_join_aggregate(
     joined = compact.join(other, k, how).withColumn("_nr", F.coalesce("_nr", F.lit(0)))
     return joined.groupBy(*g).agg(
         F.sum("_nl").alias("n_left"),
-        F.sum(F.col("_nl") * F.col("_nr")).alias("n_rows"),
+        # of heavy keys the product leaves 64 bits; a sum beyond them is an error, not a wrong number
+        F.sum(F.col("_nl").cast("decimal(19,0)") * F.col("_nr").cast("decimal(19,0)")).cast("long").alias("n_rows"),
         *(F.sum(F.col(n) * F.col("_nr")).alias(name) for n, name in zip(ls, left_sums)),
         *(F.sum(F.col(n) * F.col("_nl")).alias(name) for n, name in zip(rs, right_sums)),
     ).withColumnsRenamed(dict(zip(g, group)))
@@ -69,17 +70,17 @@ def key_values(df: DataFrame, fields: Mapping[str, Column]) -> DataFrame:
 def heavy_keys(df: DataFrame, fields: Mapping[str, Column], share: float) -> DataFrame:
     """The values that hold at least `share` of all rows of df: `key_field`, `key_value`, `n_left` (its rows), `n_all`.
 
-    The share is of all rows, with or without a value. Each value's count meets the count of the whole table by an
-    eager join: the joined rows, count times table size, are only ever multiplied.
+    The share is of all rows, with or without a value. One pass: each row counts once per field, a missing value too, so the counts of a field add up to
+    the table. These compact states, one per value, meet the total of their field (as many rows as fields); rows themselves never meet. Empty input
+    gives an empty result.
     """
-    whole = df.select(F.explode(F.array(*map(F.lit, fields))).alias("key_field"))
-    per_key = eager_join_aggregate(key_values(df, fields), whole, ["key_field"], ["key_field", "key_value"])
-    # exact arithmetic: n / all >= share, with all = n_rows / n_left
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("key_field"), v.alias("key_value")) for n, v in fields.items())))
+    counts = df.select(each.alias("_e")).select("_e.*").groupBy("key_field", "key_value").agg(F.count(F.lit(1)).alias("n_left"), F.max(F.col("key_value").isNotNull()).alias("_there"))
+    # as many rows as fields are named: a bounded side
+    totals = counts.groupBy("key_field").agg(F.sum("n_left").alias("n_all"))
     limit = F.lit(str(share)).cast("decimal(9,6)")
-    all_rows = (F.col("n_rows") / F.col("n_left")).cast("long")
-    return per_key.select("key_field", "key_value", "n_left", all_rows.alias("n_all")).where(
-        F.col("n_left").cast("decimal(20,0)") >= limit * F.col("n_all").cast("decimal(20,0)")
-    )
+    exact = lambda c: F.col(c).cast("decimal(20,0)")
+    return counts.where("_there").join(F.broadcast(totals), "key_field").where(exact("n_left") >= limit * exact("n_all")).select("key_field", "key_value", "n_left", "n_all")
 
 
 def blank_to_null(c: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediasift.functions.vectors import clip01, l2_score
-from mediasift.operators.temporal_match import PAIR, segment_pairs
+from mediasift.operators.segments import blocks
+from mediasift.operators.temporal_match import CANDIDATE, PAIR, TARGET, pairs_of_blocks
 
 
 @dataclass(frozen=True)
@@ -23,16 +24,22 @@ class FrameConfig:
     high: float = 0.80
 
 
-def nearest_with_margin(pairs: DataFrame, target_segments: DataFrame, candidate_segments: DataFrame, cfg: FrameConfig) -> DataFrame:
-    """Per pair and candidate frame `c`: the most similar target frame `t` (the first of equals), `cosine`, `margin` to the second (to 0 if the target has one frame), `l2_score`, `accepted`."""
-    sims = segment_pairs(pairs, target_segments, candidate_segments, None)
-    order = Window.partitionBy(*PAIR, "c").orderBy(F.desc(F.round("s", 12)), "t")
-    two = sims.withColumn("r", F.row_number().over(order)).where("r <= 2")
-    near = two.groupBy(*PAIR, "c").agg(F.max(F.when(F.col("r") == 1, F.col("t"))).alias("t"), F.max(F.when(F.col("r") == 1, F.col("s"))).alias("cosine"), F.max(F.when(F.col("r") == 2, F.col("s"))).alias("second"))
-    near = near.select(*PAIR, "c", "t", "cosine", (F.col("cosine") - F.coalesce("second", F.lit(0.0))).alias("margin"), l2_score(F.col("cosine")).alias("l2_score"))
+def nearest_in_blocks(pairs: DataFrame, target_blocks: DataFrame, candidate_blocks: DataFrame, cfg: FrameConfig) -> DataFrame:
+    """Per pair and candidate frame `c`: the most similar target frame `t` (the first of equals), `cosine`, `margin` to the second (to 0 if the target has one frame), `l2_score`, `accepted`.
+
+    A pair of blocks gives two target frames for each candidate frame; those of several blocks are ranked again."""
+    two = pairs_of_blocks(pairs, target_blocks, candidate_blocks, None, best=2)
+    near = two.groupBy(*PAIR, "c").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.round("s", 12)).alias("o"), "t", "s"))), 1, 2).alias("_n"))
+    first, second = F.col("_n")[0], F.try_element_at("_n", F.lit(2))
+    near = near.select(*PAIR, "c", first["t"].alias("t"), first["s"].alias("cosine"), (first["s"] - F.coalesce(second["s"], F.lit(0.0))).alias("margin"), l2_score(first["s"]).alias("l2_score"))
     return near.withColumn("accepted", (F.col("cosine") >= cfg.cosine) & (F.col("l2_score") >= cfg.l2_score) & (F.col("margin") >= cfg.margin))
 
 
+def nearest_with_margin(pairs: DataFrame, target_segments: DataFrame, candidate_segments: DataFrame, cfg: FrameConfig) -> DataFrame:
+    """`nearest_in_blocks` of rows of segments."""
+    return nearest_in_blocks(pairs, blocks(target_segments, TARGET), blocks(candidate_segments, CANDIDATE), cfg)
+
+
 def frame_runs(near: DataFrame, cfg: FrameConfig) -> tuple[DataFrame, DataFrame]:
     """Runs of accepted frames whose target frames advance by 0 to `max_step`, and the score of each pair by its best run (longest, then most similar, then first)."""
     w = Window.partitionBy(*PAIR).orderBy("c")

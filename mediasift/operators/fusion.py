@@ -24,3 +24,18 @@ def resolution_similarity(w1: Column, h1: Column, w2: Column, h2: Column) -> Col
     """Ratio of widths times ratio of heights, the smaller by the larger; 0 if one is unknown."""
     known = F.coalesce((w1 > 0) & (h1 > 0) & (w2 > 0) & (h2 > 0), F.lit(False))
     return F.when(known, F.least(w1, w2) / F.greatest(w1, w2) * (F.least(h1, h2) / F.greatest(h1, h2))).otherwise(0.0)
+
+
+def stage_scores(video: Column, audio: Column, video_offset: Column, audio_offset: Column, durations: Column, resolutions: Column, lexical: Column, segment_s: float) -> dict[str, Column]:
+    """The scores of the stages, each clipped to 0..1: `metadata` of lengths and resolutions, `visual` of words and alignment, `audio`, and `temporal`, which adds how far the two
+    offsets agree: fully at the same place, not at all from ten segments (a second at least) apart."""
+    clip = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    agreement = clip(1.0 - F.abs(video_offset - audio_offset) / max(1.0, 10.0 * segment_s))
+    return {
+        "metadata": clip(0.7 * durations + 0.3 * resolutions), "visual": clip(0.3 * lexical + 0.7 * video), "audio": clip(audio),
+        "temporal": clip(0.25 * durations + 0.45 * video + 0.20 * audio + 0.10 * agreement),
+    }
+
+
+#: Weights of the stages in the whole.
+STAGES = {"metadata": 0.20, "visual": 0.30, "audio": 0.25, "temporal": 0.25}

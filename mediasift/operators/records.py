@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mediasift.session import cut
+
 EVIDENCE = "array<struct<technique string, matcher_version string, matched boolean, score double>>"
 REQUIRED = ["job_id", "media_evidence_id", "media_url", "media_type", "source_domain", "target_id", "target_version", "techniques", "max_attempts"]
 
@@ -50,6 +53,73 @@ def fold_evidence(df: DataFrame, evidence: str) -> DataFrame:
     }).drop("_e")
 
 
+def combine_evidence(df: DataFrame, evidence: str) -> DataFrame:
+    """df with `decision`, `algorithm`, `confidence`, `summary` and `evidence_json` of an array of evidence (`technique`, `matcher_version`, `matched`, `score`, `detail`), in its order: any
+    match makes a match, the largest score there is. JSON has its keys in order, nulls too. A null or empty array is an error of the caller's: `decision` and the rest are null."""
+    e = F.col(evidence)
+    there = F.coalesce(F.size(e) > 0, F.lit(False))
+    hit = lambda x: F.coalesce(x["matched"], F.lit(False))
+    score = lambda x: F.when(x["score"].isNotNull(), F.format_string(" (score=%.4f)", x["score"])).otherwise(F.lit(""))
+    word = lambda x: F.concat(x["technique"], F.when(hit(x), "=match").otherwise("=no_match"), score(x))
+    kind = df.schema[evidence].dataType.elementType
+    names = sorted(kind["detail"].dataType.fieldNames())
+    ordered = lambda x: F.struct(
+        F.struct(*(x["detail"][n].alias(n) for n in names)).alias("detail"), x["matched"].alias("matched"), x["matcher_version"].alias("matcher_version"), x["score"].alias("score"), x["technique"].alias("technique")
+    )
+    return df.withColumns({
+        "decision": F.when(there, F.when(F.exists(e, hit), "match").otherwise("no_match")),
+        "algorithm": F.when(there, F.array_join(F.transform(e, lambda x: x["technique"]), "+")),
+        "confidence": F.when(there, F.array_max(F.transform(e, lambda x: x["score"]))),
+        "summary": F.when(there, F.array_join(F.transform(e, word), "; ")),
+        "evidence_json": F.when(there, F.to_json(F.transform(e, ordered), {"ignoreNullFields": "false"})),
+    })
+
+
+def candidate_fault(url: str, required: Sequence[str], techniques: str, attempts: str) -> Column:
+    """The first thing that is wrong with a candidate, or null: an address of another scheme than http and https, a required column that is null or empty (in their order), no technique,
+    fewer than one attempt (null counts as none)."""
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    fault = F.when(~F.coalesce(F.lower(F.col(url)).rlike("^https?://"), F.lit(False)), "candidate_url must start with http:// or https://")
+    for c in required:
+        fault = fault.when(empty(c), f"{c} must not be empty")
+    return fault.when(F.size(techniques) == 0, "techniques must contain at least one entry").when(F.coalesce(F.col(attempts), F.lit(0)) < 1, "max_attempts must be >= 1")
+
+
+def outcome(state: Column, decision: Column) -> Column:
+    """pending, skipped, retryable_error, permanent_error, match or no_match: of a completed job its decision tells, without one it was skipped; no state, and a claimed job, is pending."""
+    return (
+        F.when(state.isNull() | (state == "claimed"), "pending").when(state == "rejected", "skipped").when(state == "retry_scheduled", "retryable_error").when(state == "failed", "permanent_error")
+        .when(decision.isNull(), "skipped").when(decision == "match", "match").when(decision == "no_match", "no_match").otherwise("permanent_error")
+    )
+
+
+#: What must agree for a cached representation to serve.
+COMPATIBLE = ["target_id", "target_version", "content_sha256", "model_id", "model_version", "embedding_schema_version", "preprocessing_config", "sampling_config"]
+
+
+def spec_fields(spec: Mapping[str, object]) -> dict[str, object]:
+    """The columns of an embedding specification; settings as JSON with sorted keys."""
+    return {k: json.dumps(v, sort_keys=True) if isinstance(v, dict) else v for k, v in spec.items()}
+
+
+def cache_differences(wanted: DataFrame, cached: DataFrame) -> DataFrame:
+    """wanted (with the columns COMPATIBLE) with `differs`, the names of the fields in which the cached entry of the same target and version differs (null differs from any value but null; of
+    several entries the one that differs least), joined by commas, and `hit`: an entry is there and differs in none. Without an entry `differs` is null. Any doubt is a miss."""
+    key, rest = COMPATIBLE[:2], COMPATIBLE[2:]
+    entry = cached.select(*key, *(F.col(c).alias(f"_{c}") for c in rest), F.lit(True).alias("_there"))
+    apart = F.array_compact(F.array(*(F.when(~F.col(c).eqNullSafe(F.col(f"_{c}")), F.lit(c)) for c in rest)))
+    x = wanted.join(entry, key, "left").withColumn("_d", F.when(F.col("_there"), apart))
+    best = x.groupBy(*COMPATIBLE).agg(F.min(F.when(F.col("_there"), F.struct(F.size("_d").alias("n"), F.array_join("_d", ",").alias("names")))).alias("_b"))
+    return best.select(*COMPATIBLE, F.col("_b.names").alias("differs"), F.coalesce(F.col("_b.n") == 0, F.lit(False)).alias("hit"))
+
+
+def fenced(df: DataFrame, key: Sequence[str], attempt: str, order: str) -> DataFrame:
+    """df with `current_attempt`, the largest attempt of the key's rows before in `order` (null for the first), and `stale`: the row is of an earlier attempt, so it comes too late to count.
+    A null attempt isn't stale and fences nothing. A key has as many rows as it was tried and redelivered."""
+    before = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn("current_attempt", F.max(attempt).over(before)).withColumn("stale", F.coalesce(F.col(attempt) < F.col("current_attempt"), F.lit(False)))
+
+
 def latest(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key by `order`, which must be total; rows with a null in the key are left out. Combines before the shuffle."""
     rank = Window.partitionBy(*key).orderBy(*order)
@@ -69,15 +139,32 @@ def cache_misses(wanted: DataFrame, cached: DataFrame, key: Sequence[str]) -> Da
     return wanted.dropDuplicates(list(key)).join(cached.select(*key).distinct(), list(key), "left_anti")
 
 
-def latency_summary(df: DataFrame, group: Sequence[str], value: str, order: Sequence[Column], window: int = 2000) -> DataFrame:
-    """Per group exact `count`, `min`, `max`, `avg` (3 places), and `p50`, `p95`, `p99` of its last `window` samples: the sample at place p (n - 1), rounded half to even. Null samples don't count."""
-    x = df.where(F.col(value).isNotNull()).dropna(subset=list(group))
-    whole = x.groupBy(*group).agg(F.count(F.lit(1)).alias("count"), F.min(value).alias("min"), F.max(value).alias("max"), F.round(F.avg(value), 3).alias("avg"))
-    last = x.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_r") <= window)
-    samples = last.groupBy(*group).agg(F.array_sort(F.collect_list(value)).alias("_s"))
+def latency_summary(df: DataFrame, group: Sequence[str], value: str, order: str, window: int = 2000, bins: int = 4096, salts: int = 16) -> DataFrame:
+    """Per group exact `count`, `min`, `max`, `avg` (3 places), and `p50`, `p95`, `p99` of its last `window` samples by `order` (a unique number): the sample at place p (n - 1), rounded
+    half to even. Null samples don't count; rows with a null in the group are left out. Empty input gives an empty result.
+
+    The range of `order` is parted into `bins`; counts, sums and extremes per group and bin, added up before they are shuffled, give the whole's figures and the bin from which on a group has
+    `window` samples. Only rows from there on are shuffled (under a salt) and ranked, so the busiest group's rows are never in one task.
+    """
+    x = df.where(F.col(value).isNotNull()).dropna(subset=list(group)).select(*group, F.col(value).alias("_v"), F.col(order).alias("_o"))
+    # one row: a bounded side
+    span = F.broadcast(x.agg(F.min("_o").alias("_low"), F.max("_o").alias("_high")))
+    binned = x.join(span).withColumn("_bin", F.floor((F.col("_o") - F.col("_low")).cast("double") / (F.col("_high") - F.col("_low") + 1).cast("double") * bins).cast("int"))
+    states = binned.groupBy(*group, "_bin").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.sum("_v").alias("_sum"))
+    above = Window.partitionBy(*group).orderBy(F.desc("_bin"))
+    whole = states.withColumn("_above", F.sum("_n").over(above.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*group).agg(
+        F.sum("_n").alias("count"), F.min("_min").alias("min"), F.max("_max").alias("max"), F.round(F.sum("_sum") / F.sum("_n"), 3).alias("avg"),
+        F.coalesce(F.max(F.when(F.col("_above") >= window, F.col("_bin"))), F.lit(-1)).alias("_least"),
+    )
+    whole = cut(whole)
+    least = whole.select(*group, "_least", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    salted = binned.withColumn("_salt", F.pmod(F.xxhash64("_o"), F.lit(salts)).cast("int"))
+    late = salted.join(least, [*group, "_salt"]).where("_bin >= _least").select(*group, "_o", "_v")
+    last = late.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("_o")))).where(F.col("_r") <= window)
+    samples = last.groupBy(*group).agg(F.array_sort(F.collect_list("_v")).alias("_s"))
     n = F.size("_s")
     at = lambda p: F.element_at("_s", F.bround((n - 1) * F.lit(p), 0).cast("int") + 1)
-    return whole.join(samples.select(*group, at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), n.alias("sample_window")), list(group))
+    return whole.drop("_least").join(samples.select(*group, at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), n.alias("sample_window")), list(group))
 
 
 def sample_spread(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediasift.operators.frame_runs import FrameConfig, frame_runs, nearest_with_margin
+from mediasift.operators.frame_runs import FrameConfig, frame_runs, nearest_in_blocks
+from mediasift.operators.records import combine_evidence, fold_evidence
 from mediasift.operators.retrieval import search_in_blocks, similarity_band
-from mediasift.operators.segments import coarse_vectors, segment_faults, segments
-from mediasift.operators.temporal_match import CANDIDATE, PAIR, TARGET, MatcherConfig, coarse_screen, segment_pairs, temporal_match
-from mediasift.session import table
+from mediasift.operators.segments import blocks, clip_rows, coarse_of_blocks, segment_faults, segments
+from mediasift.operators.temporal_match import CANDIDATE, PAIR, TARGET, MatcherConfig, match_blocks, pairs_of_blocks, screen_blocks, verdict_evidence
+from mediasift.session import cut, table
 
 DIM = 64
 
@@ -20,12 +21,25 @@ def clips(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return segments(frames, TARGET, DIM), segments(frames, CANDIDATE, DIM)
 
 
+def packed_clips(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Blocks of all targets and of all candidates: the table is read once and its vectors are shuffled once, whatever they are used for then."""
+    rows = clip_rows(table(spark, sf_dir, "index_frames"), {"target": TARGET, "candidate": CANDIDATE}, DIM)
+    packed = cut(blocks(rows, ["side", "k0", "k1"]))
+    t = packed.where("side = 'target'").drop("side").withColumnsRenamed({"k0": "target_id", "k1": "target_version"})
+    return t, packed.where("side = 'candidate'").drop("side", "k1").withColumnRenamed("k0", "candidate_id")
+
+
 def named_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The clip pairs to compare: a job's candidate with the target that it names, and the recorded pairs. Only those with frames of both."""
-    frames = table(spark, sf_dir, "index_frames")
+    """The clip pairs to compare: a job's candidate with the target that it names, and the recorded pairs, whether or not there are frames of both."""
     jobs = table(spark, sf_dir, "jobs").select(*TARGET, F.col("media_evidence_id").alias("candidate_id"))
-    both = jobs.union(table(spark, sf_dir, "matched_pairs").select(*PAIR)).dropna().distinct()
-    return both.join(frames.select(*CANDIDATE).distinct(), CANDIDATE, "left_semi").join(frames.select(*TARGET).distinct(), TARGET, "left_semi").select(*PAIR)
+    return jobs.union(table(spark, sf_dir, "matched_pairs").select(*PAIR)).dropna().distinct()
+
+
+def pairs_with_blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Named pairs that have segments on both sides, and the blocks of all clips."""
+    t, c = packed_clips(spark, sf_dir)
+    both = named_pairs(spark, sf_dir).join(c.select(*CANDIDATE).distinct(), CANDIDATE, "left_semi").join(t.select(*TARGET).distinct(), TARGET, "left_semi")
+    return cut(both.select(*PAIR)), t, c
 
 
 def _round(df: DataFrame) -> DataFrame:
@@ -33,36 +47,47 @@ def _round(df: DataFrame) -> DataFrame:
 
 
 def q_temporal_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdict of each named pair of clips."""
-    return _round(temporal_match(named_pairs(spark, sf_dir), *clips(spark, sf_dir), DIM)[0])
+    """The verdict of each named pair of clips; those without frames on a side are errors."""
+    return _round(match_blocks(named_pairs(spark, sf_dir), *packed_clips(spark, sf_dir))[0])
 
 
 def q_temporal_match_unscreened(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same without the coarse screen: also short clips of long targets are compared."""
-    return _round(temporal_match(named_pairs(spark, sf_dir), *clips(spark, sf_dir), DIM, MatcherConfig(coarse_similarity=-1.0))[0])
+    return _round(match_blocks(named_pairs(spark, sf_dir), *packed_clips(spark, sf_dir), MatcherConfig(coarse_similarity=-1.0))[0])
 
 
 def q_matched_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The segment pairs of each pair's best run."""
-    rows = temporal_match(named_pairs(spark, sf_dir), *clips(spark, sf_dir), DIM)[1]
+    rows = match_blocks(named_pairs(spark, sf_dir), *packed_clips(spark, sf_dir))[1]
     return _round(rows.select(*PAIR, F.col("t").alias("target_segment_index"), F.col("c").alias("candidate_segment_index"), F.col("s").alias("similarity")))
 
 
+def q_match_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts as evidence: each combined into a result, and folded again from its JSON."""
+    verdicts = match_blocks(named_pairs(spark, sf_dir), *packed_clips(spark, sf_dir))[0].where("fault IS NULL")
+    results = combine_evidence(verdicts.select(*PAIR, F.array(verdict_evidence()).alias("e")), "e")
+    folded = fold_evidence(results.select(*PAIR, "decision", "algorithm", "confidence", "summary", "evidence_json"), "evidence_json")
+    n = F.get_json_object("evidence_json", "$[0].detail.matched_segment_count").cast("int")
+    keys = F.array_join(F.json_object_keys(F.get_json_object("evidence_json", "$[0].detail")), ",")
+    same = F.col("decision").eqNullSafe(F.col("folded_decision")) & F.col("algorithm").eqNullSafe(F.col("folded_algorithm")) & F.col("summary").eqNullSafe(F.col("folded_summary"))
+    return _round(folded.select(*PAIR, "decision", "algorithm", "confidence", "summary", n.alias("n"), keys.alias("detail_keys"), same.alias("folds_alike")))
+
+
 def q_similar_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segment pairs of named clip pairs with a cosine of 0.9 or more."""
-    return _round(segment_pairs(named_pairs(spark, sf_dir), *clips(spark, sf_dir), 0.9).select(*PAIR, "c", "t", "s"))
+    return _round(pairs_of_blocks(*pairs_with_blocks(spark, sf_dir), 0.9).select(*PAIR, "c", "t", "s"))
 
 
 def q_coarse_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean vectors of all clips; numbers come out singly, so that they can be rounded."""
-    t, c = clips(spark, sf_dir)
-    both = coarse_vectors(t, TARGET, DIM).select(F.concat_ws("/", *TARGET).alias("clip"), "n_segments", "coarse").union(coarse_vectors(c, CANDIDATE, DIM))
+    t, c = packed_clips(spark, sf_dir)
+    both = coarse_of_blocks(t, TARGET).select(F.concat_ws("/", *TARGET).alias("clip"), "n_segments", "coarse").union(coarse_of_blocks(c, CANDIDATE))
     return both.select("clip", "n_segments", F.posexplode("coarse").alias("dim", "value")).withColumn("value", F.round("value", 6))
 
 
 def q_coarse_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coarse cosines of the named pairs, and which pass."""
-    return _round(coarse_screen(named_pairs(spark, sf_dir), *clips(spark, sf_dir), DIM, MatcherConfig()))
+    return _round(screen_blocks(named_pairs(spark, sf_dir), *packed_clips(spark, sf_dir), MatcherConfig()))
 
 
 def q_segment_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,17 +99,17 @@ def q_segment_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_nearest_with_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each candidate frame's nearest target frame in its named pairs, with the margin to the second."""
-    return _round(nearest_with_margin(named_pairs(spark, sf_dir), *clips(spark, sf_dir), FrameConfig()))
+    return _round(nearest_in_blocks(*pairs_with_blocks(spark, sf_dir), FrameConfig()))
 
 
 def q_frame_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of accepted frames."""
-    return _round(frame_runs(nearest_with_margin(named_pairs(spark, sf_dir), *clips(spark, sf_dir), FrameConfig()), FrameConfig())[0])
+    return _round(frame_runs(nearest_in_blocks(*pairs_with_blocks(spark, sf_dir), FrameConfig()), FrameConfig())[0])
 
 
 def q_frame_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores and status of the named pairs by their frames."""
-    return _round(frame_runs(nearest_with_margin(named_pairs(spark, sf_dir), *clips(spark, sf_dir), FrameConfig()), FrameConfig())[1])
+    return _round(frame_runs(nearest_in_blocks(*pairs_with_blocks(spark, sf_dir), FrameConfig()), FrameConfig())[1])
 
 
 def q_topk_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,9 +126,9 @@ ts AS (SELECT target_id, target_version, segment_index AS idx, frame_time_s AS s
   QUALIFY row_number() OVER (PARTITION BY target_id, target_version, segment_index ORDER BY vec_id) = 1),
 cs AS (SELECT candidate_id, segment_index AS idx, frame_time_s AS start_s, end_s, vec FROM ok WHERE candidate_id IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY candidate_id, segment_index ORDER BY vec_id) = 1),
-named AS (SELECT target_id, target_version, media_evidence_id AS candidate_id FROM jobs UNION SELECT target_id, target_version, candidate_id FROM matched_pairs),
-pairs AS (SELECT n.* FROM named n SEMI JOIN index_frames c ON n.candidate_id = c.candidate_id
-  WHERE EXISTS (SELECT 1 FROM index_frames t WHERE t.target_id = n.target_id AND t.target_version = n.target_version)),
+named AS (SELECT * FROM (SELECT target_id, target_version, media_evidence_id AS candidate_id FROM jobs UNION SELECT target_id, target_version, candidate_id FROM matched_pairs)
+  WHERE target_id IS NOT NULL AND target_version IS NOT NULL AND candidate_id IS NOT NULL),
+pairs AS (SELECT n.* FROM named n SEMI JOIN cs c ON n.candidate_id = c.candidate_id WHERE EXISTS (SELECT 1 FROM ts t WHERE t.target_id = n.target_id AND t.target_version = n.target_version)),
 td AS (SELECT target_id, target_version, unnest(range(1, 65)) AS dim, unnest(vec) AS x FROM ts),
 cd AS (SELECT candidate_id, unnest(range(1, 65)) AS dim, unnest(vec) AS x FROM cs),
 tm AS (SELECT target_id, target_version, dim, avg(x) AS x FROM td GROUP BY ALL),
@@ -115,7 +140,7 @@ cl AS (SELECT candidate_id, sqrt(sum(x * x)) AS len FROM cm GROUP BY ALL),
 dots AS (SELECT p.target_id, p.target_version, p.candidate_id, sum(t.x * c.x) AS d FROM pairs p JOIN tm t USING (target_id, target_version) JOIN cm c ON c.candidate_id = p.candidate_id AND c.dim = t.dim GROUP BY ALL),
 screen AS (SELECT p.target_id, p.target_version, p.candidate_id, coalesce(tn.n, 0) AS total_target, coalesce(cn.n, 0) AS total_candidate,
     CASE WHEN tl.len IS NOT NULL AND cl.len IS NOT NULL THEN CASE WHEN tl.len < 1e-12 OR cl.len < 1e-12 THEN 0 ELSE d / (tl.len * cl.len) END END AS coarse
-  FROM pairs p LEFT JOIN tn USING (target_id, target_version) LEFT JOIN cn USING (candidate_id) LEFT JOIN tl USING (target_id, target_version) LEFT JOIN cl USING (candidate_id)
+  FROM named p LEFT JOIN tn USING (target_id, target_version) LEFT JOIN cn USING (candidate_id) LEFT JOIN tl USING (target_id, target_version) LEFT JOIN cl USING (candidate_id)
   LEFT JOIN dots ON dots.target_id = p.target_id AND dots.target_version = p.target_version AND dots.candidate_id = p.candidate_id),
 passed AS (SELECT * FROM screen WHERE total_target > 0 AND total_candidate > 0 AND coalesce(coarse >= {coarse}, true))
 """
@@ -144,7 +169,8 @@ _VERDICT = """
 SELECT s.target_id, s.target_version, s.candidate_id, coalesce(n >= 3 AND mean >= 0.9, false) AS matched, round(coalesce(mean, 0), 6) AS score,
   round(least(ce.end_s - cb.start_s, te.end_s - tb.start_s), 6) AS matched_duration_s, round(tb.start_s, 6) AS target_start, round(te.end_s, 6) AS target_end,
   round(cb.start_s, 6) AS candidate_start, round(ce.end_s, 6) AS candidate_end, coalesce(n, 0) AS matched_segment_count, total_target AS total_target_segments,
-  total_candidate AS total_candidate_segments, round(tb.start_s - cb.start_s, 6) AS temporal_offset_s, round(mean, 6) AS mean_similarity, round(coarse, 6) AS coarse_similarity
+  total_candidate AS total_candidate_segments, round(tb.start_s - cb.start_s, 6) AS temporal_offset_s, round(mean, 6) AS mean_similarity, round(coarse, 6) AS coarse_similarity,
+  CASE WHEN total_target = 0 THEN 'no target' WHEN total_candidate = 0 THEN 'no candidate' END AS fault
 FROM screen s LEFT JOIN pick p ON s.target_id = p.target_id AND s.target_version = p.target_version AND s.candidate_id = p.candidate_id
 LEFT JOIN ts tb ON tb.target_id = s.target_id AND tb.target_version = s.target_version AND tb.idx = p.t0
 LEFT JOIN ts te ON te.target_id = s.target_id AND te.target_version = s.target_version AND te.idx = p.t1
@@ -165,7 +191,7 @@ fg AS (SELECT target_id, target_version, candidate_id, run, min(c) AS start_cand
 _K = "target_id, target_version, candidate_id"
 
 QUERIES = {
-    "temporal_match": q_temporal_match, "temporal_match_unscreened": q_temporal_match_unscreened, "matched_segments": q_matched_segments, "similar_segments": q_similar_segments,
+    "temporal_match": q_temporal_match, "temporal_match_unscreened": q_temporal_match_unscreened, "matched_segments": q_matched_segments, "match_evidence": q_match_evidence, "similar_segments": q_similar_segments,
     "coarse_vectors": q_coarse_vectors, "coarse_screen": q_coarse_screen, "segment_faults": q_segment_faults, "nearest_with_margin": q_nearest_with_margin,
     "frame_runs": q_frame_runs, "frame_scores": q_frame_scores, "topk_retrieval": q_topk_retrieval,
 }
@@ -174,6 +200,10 @@ ORACLES = {
     "temporal_match_unscreened": _with(coarse=-1, source="passed", runs=True) + _VERDICT,
     "matched_segments": _with(source="passed", runs=True) + f"""SELECT r.target_id, r.target_version, r.candidate_id, t AS target_segment_index, c AS candidate_segment_index, round(s, 6) AS similarity
       FROM runs r JOIN pick p ON r.target_id = p.target_id AND r.target_version = p.target_version AND r.candidate_id = p.candidate_id AND r.run = p.run""",
+    "match_evidence": f"""SELECT {_K}, CASE WHEN matched THEN 'match' ELSE 'no_match' END AS decision, 'dinov2' AS algorithm, score AS confidence,
+      'dinov2=' || CASE WHEN matched THEN 'match' ELSE 'no_match' END || printf(' (score=%.4f)', exact) AS summary, matched_segment_count AS n,
+      'candidate_end,candidate_start,coarse_similarity,matched_duration_s,matched_segment_count,mean_similarity,target_end,target_start,temporal_offset_s,total_candidate_segments,total_target_segments' AS detail_keys, true AS folds_alike
+      FROM ({_with(source="passed", runs=True) + _VERDICT.replace("AS score,", "AS score, coalesce(mean, 0) AS exact,")}) WHERE fault IS NULL""",
     "similar_segments": _with(source="pairs") + f"SELECT {_K}, c, t, round(s, 6) AS s FROM hits",
     "coarse_vectors": _with() + """SELECT target_id || '/' || target_version AS clip, n AS n_segments, cast(dim - 1 AS INTEGER) AS dim, round(x / CASE WHEN len > 0 THEN len ELSE 1 END, 6) AS value
       FROM tm JOIN tl USING (target_id, target_version) JOIN tn USING (target_id, target_version)

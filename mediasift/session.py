@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import io
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -39,19 +41,40 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a local one only where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share, from spark.checkpoint.dir. Where that is unset a folder of this machine serves, but only in local mode: on a
+    cluster it is an error, as others can't read it and what is there goes with the machine."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        where = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='mediasift-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = f"file://{tempfile.mkdtemp(prefix='mediasift-')}"
+        atexit.register(shutil.rmtree, where.removeprefix("file://"), ignore_errors=True)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
 def scratch(spark: SparkSession, purpose: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, removed when the driver ends: results may be read from it until then."""
+    where = f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, where)
+    return where
+
+
+def remove(spark: SparkSession, where: str) -> None:
+    """Deletes a folder of the shared file system; nothing if it isn't there or the session has ended."""
+    try:
+        fs, path = hadoop_path(spark, where)
+        fs.delete(path, True)
+    except Exception:  # the JVM is gone: the folder stays
+        pass
+
+
+def hadoop_path(spark: SparkSession, where: str):
+    """The file system and path object of an address."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -30,6 +30,8 @@ def test_heavy_keys_and_their_spelling(spark):
     df = spark.createDataFrame(rows, "source_domain string")
     found = {(r["key_value"], r["n_left"], r["n_all"]) for r in heavy_keys(df, {"source_domain": domain(F.col("source_domain"))}, 0.1).collect()}
     assert found == {("a.example", 4, 20), ("b.test", 2, 20)}
+    two = heavy_keys(df.withColumn("t", F.lit(None).cast("string")), {"source_domain": domain(F.col("source_domain")), "t": F.col("t")}, 0.0)
+    assert {r["n_all"] for r in two.collect()} == {20} and two.where("key_field = 't'").count() == 0
     assert heavy_keys(df.limit(0), {"d": domain(F.col("source_domain"))}, 0.1).count() == 0
     t = spark.createDataFrame([(" a ",), (" \t\n",), (None,)], "v string").select(filled(F.col("v")), blank_to_null(F.col("v"))).collect()
     assert [tuple(r) for r in t] == [(" a ", "a"), (None, None), (None, None)]

@@ -21,9 +21,8 @@ def test_query_equals_sql(spark, con, name):
     same(spark, con, catalog.QUERIES[name], catalog.ORACLES[name], FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
-def test_other_queries_run(spark, name):
-    assert catalog.QUERIES[name](spark, FOLDER).count() >= 0
+def test_every_query_has_its_sql():
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
 
 
 def test_entry_has_every_query(spark):

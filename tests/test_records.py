@@ -29,7 +29,7 @@ def test_addresses(spark):
         want.append(a.is_loopback or a.is_private or a.is_link_local or a.is_unspecified or a.is_multicast or a.is_reserved or a in shared)
     assert column(spark, v4, "string", G.unsafe_ipv4) == want
     assert column(spark, ["::1", "::ffff:10.0.0.1", "::ffff:8.8.8.8", "2606:4700::1111", "fe80::1", "no address", None, "1.2.3.256", "01.2.3.4"], "string", G.unsafe_address) == [True, True, False, False, True, True, True, True, True]
-    assert column(spark, [["8.8.8.8"], ["8.8.8.8", "10.0.0.1"], [], None, ["x"]], "array<string>", G.safe_destination) == [True, False, False, False, False]
+    assert column(spark, [["8.8.8.8"], ["8.8.8.8", "10.0.0.1"], [], None, ["x"], ["2001:4860:4860::8888", "8.8.8.8"], ["8.8.8.8", "fe80::1"], ["8.8.8.8", None]], "array<string>", G.safe_destination) == [True, False, False, False, False, True, False, False]
 
 
 def test_gates(spark):
@@ -37,7 +37,13 @@ def test_gates(spark):
     assert column(spark, ["Video/MP4; x=1", "", None, " image/png "], "string", G.content_type) == ["video/mp4", "application/octet-stream", "application/octet-stream", "image/png"]
     assert column(spark, ["https://A.Test:80/b.MP4?x=1#y", " http://u:p@b.test./c.jpg\n", "ftp://c/d", "", None], "string", G.host) == ["a.test", "b.test", "c", None, None]
     assert column(spark, ["https://A.Test/b.MP4?x=1.jpg", " http://b.test/c.jpg\n", "https://b.test", None], "string", G.media_kind) == ["video", "image", "other", "other"]
-    assert column(spark, ["GoneError", "x", None], "string", G.error_kind) == ["permanent_acquisition_failure", "unclassified", "unclassified"]
+    assert column(spark, ["GoneError", "x", None], "string", G.error_kind) == ["permanent_acquisition_failure", "unclassified_error", "unclassified_error"]
+    assert column(spark, [("InferenceError", "candidate"), ("InferenceError", None), ("ModelLoadError", "candidate"), ("ServerError", "target"), ("JobValidationError", "x"), (None, None)], "struct<n: string, s: string>", lambda c: G.retry_class(c["n"], c["s"])) == ["result", "transient", "startup", "transient", "rejected", "permanent"]
+    assert len(G.ERROR_KINDS) == 25
+    assert column(spark, ["https://a.test/x.MKV?y=1", "x.jpg", "a", None], "string", G.mime_type) == ["video/x-matroska", "image/jpeg", "video/mp4", "video/mp4"]
+    assert column(spark, [3.0, 5.0, None, float("nan")], "double", lambda c: G.too_short(c, 5)) == [True, False, False, False] and column(spark, [3.0], "double", lambda c: G.too_short(c, -1)) == [False]
+    assert column(spark, [3661.0625, 360000.5, None], "double", K.clock) == ["01:01:01.063", "100:00:00.500", None]
+    assert column(spark, ["/a b/ü.mp4"], "string", K.file_url) == ["file:///a%20b/%C3%BC.mp4"]
     assert column(spark, ["HTTPS://x", "ftp://x", None], "string", G.fetchable) == [True, False, False]
 
 
@@ -82,7 +88,7 @@ def test_latest_upsert_misses_and_latency(spark):
     wanted = spark.createDataFrame([("a",), ("a",), ("b",)], "cache_key string")
     assert [r[0] for r in R.cache_misses(wanted, wanted.where("cache_key = 'b'"), ["cache_key"]).collect()] == ["a"]
     samples = spark.createDataFrame([("w", i, float(i)) for i in range(1, 101)] + [("w", 101, None)], "g string, i int, v double")
-    (r,) = R.latency_summary(samples, ["g"], "v", [F.desc("i")], window=11).collect()
+    (r,) = R.latency_summary(samples, ["g"], "v", "i", window=11).collect()
     assert (r["count"], r["min"], r["max"], r["avg"], r["p50"], r["p95"], r["p99"], r["sample_window"]) == (100, 1.0, 100.0, 50.5, 95.0, 100.0, 100.0, 10) or r["sample_window"] == 11
     assert column(spark, [1, 2, 3, 10, 100], "int", R.backoff_seconds) == [1.0, 2.0, 4.0, 60.0, 60.0]
     assert column(spark, ["1500-0", "x", "", None, "-1"], "string", R.entry_seconds) == [1.5, None, None, None, None]
@@ -154,3 +160,33 @@ def test_onion_techniques_and_spread(spark):
     got = {r["g"]: r for r in R.sample_spread(spark.createDataFrame(rows, "g string, v double"), ["g"], "v").collect()}
     assert (got["a"]["count"], got["a"]["median"], round(got["a"]["stdev"], 6)) == (4, 1.5, 1.118034) and got["d"]["stdev"] == 0.0
     assert got["a"]["warning"].startswith("n=4 is too small") and got["b"]["warning"].startswith("n=29 is small") and got["c"]["warning"] is None
+
+
+def test_the_busiest_group_is_never_ranked_whole(spark):
+    """Nine of ten rows are of one group: the same figures as one sort gives, of the rows from the histogram's bin on."""
+    rng = random.Random(6)
+    rows = [(rng.choice(["hot"] * 9 + ["a", None]), i, rng.choice([None, *range(50)])) for i in range(3000)]
+    got = {r["g"]: r for r in R.latency_summary(spark.createDataFrame(rows, "g string, i long, v int"), ["g"], "v", "i", window=101, bins=64).collect()}
+    for g in ("hot", "a"):
+        values = [v for k, _, v in rows if k == g and v is not None]
+        last = sorted(values[-101:])
+        at = lambda p: last[round((len(last) - 1) * p)]
+        assert (got[g]["count"], got[g]["min"], got[g]["max"], got[g]["p50"], got[g]["p95"], got[g]["p99"], got[g]["sample_window"]) == (len(values), min(values), max(values), at(0.5), at(0.95), at(0.99), len(last))
+    assert set(got) == {"hot", "a"} and R.latency_summary(spark.createDataFrame([], "g string, i long, v int"), ["g"], "v", "i").count() == 0
+
+
+def test_candidates_outcomes_caches_and_fences(spark):
+    df = spark.createDataFrame([("http://x", "a", ["t"], 1), ("ftp://x", "", [], 0), (None, None, [], None), ("HTTPS://x", None, ["t"], 1), ("http://x", "a", [], 1), ("http://x", "a", ["t"], None)], "u string, k string, t array<string>, n int")
+    assert [r[0] for r in df.select(R.candidate_fault("u", ["k"], "t", "n")).collect()] == [None, "candidate_url must start with http:// or https://", "candidate_url must start with http:// or https://", "k must not be empty", "techniques must contain at least one entry", "max_attempts must be >= 1"]
+    states = [(None, "match", "pending"), ("claimed", None, "pending"), ("rejected", None, "skipped"), ("retry_scheduled", None, "retryable_error"), ("failed", "match", "permanent_error"), ("completed", None, "skipped"), ("completed", "match", "match"), ("completed", "no_match", "no_match"), ("completed", "processing_failure", "permanent_error")]
+    df = spark.createDataFrame(states, "s string, d string, want string")
+    assert all(r[0] == r[1] for r in df.select(R.outcome(F.col("s"), F.col("d")), "want").collect())
+
+    kinds = ", ".join(f"{c} string" for c in R.COMPATIBLE)
+    one = ["t", "v", "c", "m", "1", "1", "{}", None]
+    cached = spark.createDataFrame([one, [*one[:4], "2", *one[5:]], ["u", "v", "c", "m", "2", "1", "{}", "{}"]], kinds)
+    wanted = spark.createDataFrame([one, ["u", *one[1:]], ["x", *one[1:]]], kinds)
+    assert {r["target_id"]: (r["differs"], r["hit"]) for r in R.cache_differences(wanted, cached).collect()} == {"t": ("", True), "u": ("model_version,sampling_config", False), "x": (None, False)}
+
+    r = R.fenced(spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("a", 1, 3), ("a", None, 4), ("b", 1, 5)], "k string, n int, i int"), ["k"], "n", "i").collect()
+    assert {x["i"]: (x["current_attempt"], x["stale"]) for x in r} == {1: (None, False), 2: (1, False), 3: (2, True), 4: (2, False), 5: (None, False)}

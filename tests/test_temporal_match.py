@@ -136,3 +136,56 @@ def test_blocks_hold_every_segment_once(spark):
         assert blocks(df.limit(0), ["candidate_id"]).count() == 0
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_a_crowded_target_is_spread(spark):
+    """A target that nearly all pairs name meets its candidates in several tasks, with the same result."""
+    from mediasift.operators.segments import blocks
+    from mediasift.operators.temporal_match import pairs_of_blocks, spread_targets
+
+    rng = random.Random(7)
+    words = {f"c{i}": "".join(rng.choices("ABCDEFG", k=6)) for i in range(60)}
+    t = spark.createDataFrame([*letters("ABCDEFGABC", ("hot", "v")), *letters("GFEDCBA", ("cold", "v"))], f"target_id string, target_version string, {SEGMENT}")
+    c = spark.createDataFrame([r for k, w in words.items() for r in letters(w, (k,))], f"candidate_id string, {SEGMENT}")
+    pairs = spark.createDataFrame([("hot", "v", k) for k in words] + [("cold", "v", "c1"), ("missing", "v", "c2")], "target_id string, target_version string, candidate_id string")
+    plain = pairs_of_blocks(pairs, blocks(t, TARGET), blocks(c, CANDIDATE), 0.9)
+    salted = pairs_of_blocks(pairs, blocks(t, TARGET), blocks(c, CANDIDATE), 0.9, most=7)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, salted.collect())) and plain.count() > 60
+    named, copies, on = spread_targets(pairs, t.select(*TARGET).distinct(), 7)
+    assert on == [*TARGET, "_salt"] and {r["target_id"]: r["n"] for r in copies.groupBy("target_id").agg(F.count(F.lit(1)).alias("n")).collect()} == {"hot": 9, "cold": 1}
+    assert max(r["n"] for r in named.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).collect()) < 20 and named.count() == 62
+
+
+def test_clips_of_both_sides_in_one_pass(spark):
+    from mediasift.operators.segments import blocks, clip_rows
+
+    rows = [(1, "t", "v", None, 0, [1.0, 0.0]), (2, "t", "v", None, 0, [0.0, 1.0]), (3, "t", None, "c", 1, [1.0, 1.0]), (4, "t", "v", "c", 2, [2.0, 1.0]), (5, None, None, "c", 0, None)]
+    frames = spark.createDataFrame(rows, "vec_id long, target_id string, target_version string, candidate_id string, segment_index int, embeddings array<float>").withColumns({"frame_time_s": F.lit(1.0), "sample_fps": F.lit(0.0), "side": F.lit("clash"), "k0": F.lit(1)})
+    got = blocks(clip_rows(frames, {"target": TARGET, "candidate": CANDIDATE}, 2), ["side", "k0", "k1"]).collect()
+    assert {(r["side"], r["k0"], r["k1"], tuple(r["idxs"]), r["n"], tuple(r["total"])) for r in got} == {("target", "t", "v", (0, 2), 2, (3.0, 1.0)), ("candidate", "c", "", (1, 2), 2, (3.0, 2.0))}
+
+
+def test_a_pair_without_segments_is_an_error(spark):
+    pairs = spark.createDataFrame([("t", "v", "c"), ("t", "v", "x"), ("x", "v", "c")], "target_id string, target_version string, candidate_id string")
+    t = spark.createDataFrame(letters("ABC", ("t", "v")), f"target_id string, target_version string, {SEGMENT}")
+    c = spark.createDataFrame(letters("ABC", ("c",)), f"candidate_id string, {SEGMENT}")
+    out = temporal_match(pairs, t, c, 26)[0]
+    assert {(r["target_id"], r["candidate_id"]): (r["fault"], r["matched"]) for r in out.collect()} == {("t", "c"): (None, True), ("t", "x"): ("no candidate", False), ("x", "c"): ("no target", False)}
+
+
+def test_verdicts_become_evidence(spark):
+    import json
+
+    from mediasift.operators.records import combine_evidence, fold_evidence
+    from mediasift.operators.temporal_match import DETAIL, verdict_evidence
+
+    pairs = spark.createDataFrame([("t", "v", "c")], "target_id string, target_version string, candidate_id string")
+    t = spark.createDataFrame(letters("ABCD", ("t", "v")), f"target_id string, target_version string, {SEGMENT}")
+    c = spark.createDataFrame(letters("ABC", ("c",)), f"candidate_id string, {SEGMENT}")
+    one = temporal_match(pairs, t, c, 26)[0].select(F.array(verdict_evidence(), verdict_evidence("ocr")).alias("e"))
+    r = fold_evidence(combine_evidence(one, "e"), "evidence_json").first()
+    assert (r["decision"], r["algorithm"], r["summary"]) == ("match", "dinov2+ocr", "dinov2=match (score=1.0000); ocr=match (score=1.0000)") == (r["folded_decision"], r["folded_algorithm"], r["folded_summary"])
+    parsed = json.loads(r["evidence_json"])
+    assert [list(x) for x in parsed] == [sorted(x) for x in parsed] and list(parsed[0]["detail"]) == sorted(DETAIL) and parsed[0]["detail"]["matched_segment_count"] == 3
+    none = combine_evidence(one.select(F.slice("e", 1, 0).alias("e")), "e").first()
+    assert none["decision"] is None and none["evidence_json"] is None
