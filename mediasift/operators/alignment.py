@@ -27,6 +27,13 @@ def placed(segs: DataFrame, clip: Sequence[str], values: Mapping[str, Column]) -
     return segs.select(*clip, (F.row_number().over(whole.orderBy("idx")) - 1).alias("p"), F.count(F.lit(1)).over(whole).cast("int").alias("n"), *(v.alias(k) for k, v in values.items()))
 
 
+def placed_sides(rows: DataFrame, key: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
+    """`placed` of rows that hold all clips of both sides (`clip_rows`), under `key`: of a segment saved more than once the row with the smallest `_id` counts. One shuffle."""
+    clip = Window.partitionBy(*key)
+    rows = rows.repartition(*key).withColumn("_was", F.lag("idx").over(clip.orderBy("idx", "_id"))).where("_was IS NULL OR _was <> idx")
+    return placed(rows, key, values)
+
+
 def about_mean(rows: DataFrame, clip: Sequence[str], value: str) -> DataFrame:
     """rows with `value` about the clip's mean, and `length`, the length of the clip's curve then."""
     whole = Window.partitionBy(*clip)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from mediasift.functions.hashing import frame_digest, hex_digest, majority_digest, rms, sign_bits, sound_digest, zero_crossings
 from mediasift.functions.vectors import usable
 from mediasift.operators import alignment as A
+from mediasift.operators.segments import clip_rows
 from mediasift.operators.temporal_match import CANDIDATE, PAIR, TARGET
 from mediasift.plans.matching import _SEGS, DIM, _round, clips, named_pairs
 from mediasift.session import cut, table
@@ -31,10 +32,12 @@ def features(v: Column) -> dict[str, Column]:
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Named pairs with segments on both sides, and these, in place; cut, as each is read several times."""
-    t, c = clips(spark, sf_dir)
-    t, c = cut(A.placed(t, TARGET, features(F.col("vec")))), cut(A.placed(c, CANDIDATE, features(F.col("vec"))))
-    both = named_pairs(spark, sf_dir).join(c.select(*CANDIDATE).distinct(), CANDIDATE, "left_semi").join(t.select(*TARGET).distinct(), TARGET, "left_semi")
-    return cut(both.select(*PAIR)), t, c
+    rows = clip_rows(table(spark, sf_dir, "index_frames"), {"target": TARGET, "candidate": CANDIDATE}, DIM)
+    both = cut(A.placed_sides(rows, ["side", "k0", "k1"], features(F.col("vec"))))
+    t = both.where("side = 'target'").drop("side").withColumnsRenamed({"k0": "target_id", "k1": "target_version"})
+    c = both.where("side = 'candidate'").drop("side", "k1").withColumnRenamed("k0", "candidate_id")
+    known = named_pairs(spark, sf_dir).join(c.where("p = 0").select(*CANDIDATE), CANDIDATE, "left_semi").join(t.where("p = 0").select(*TARGET), TARGET, "left_semi")
+    return cut(known.select(*PAIR)), t, c
 
 
 def q_hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
