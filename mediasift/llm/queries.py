@@ -13,7 +13,7 @@ from mediasift.llm.media_keys import evidence_key, trimmed, url_key
 from mediasift.llm.mixture import mix
 from mediasift.llm.nearest import nearest_vectors
 from mediasift.llm.percentiles import epoch_seconds, percentiles, value_counts
-from mediasift.llm.same_look import LOOK, canonical, look_alikes
+from mediasift.llm.same_look import canonical, look_alikes, look_classes
 from mediasift.llm.similar import similar_vectors
 from mediasift.llm.top_n import top_n_per_group
 from mediasift.session import table
@@ -134,6 +134,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_alikes(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
+def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the first one that looks the same."""
+    return look_classes(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text in canonical form."""
     return table(spark, sf_dir, "documents").select("doc_id", canonical(F.col("text")).alias("text"))
@@ -170,20 +175,33 @@ c AS (SELECT a.vec_id AS id, b.vec_id AS other, round(list_dot_product(a.v, b.v)
 k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, other) AS pos FROM c WHERE cosine >= 0.9)
 """
 
+# Letters of other scripts by the Latin letter of the same look, as DuckDB's translate takes them. Written for the oracle alone, from the charts of
+# Cyrillic, Greek and Armenian; the operator has a table of its own.
+_CAPITALS = [
+    ("A", "АΑ"), ("B", "ВΒ"), ("C", "СϹ"), ("E", "ЕΕ"), ("H", "НΗ"), ("I", "ІΙӀ"), ("J", "ЈͿ"), ("K", "КΚ"), ("M", "МΜ"), ("N", "Ν"), ("O", "ОΟՕ"),
+    ("P", "РΡ"), ("Q", "Ԛ"), ("S", "ЅՏ"), ("T", "ТΤ"), ("W", "Ԝ"), ("X", "ХΧ"), ("Y", "УΥҮ"), ("Z", "Ζ"),
+]
+_SMALL = [
+    ("a", "аɑ"), ("c", "сϲ"), ("d", "ԁ"), ("e", "е"), ("g", "ɡ"), ("h", "һհҺ"), ("i", "і"), ("j", "јϳ"), ("l", "ӏ"), ("n", "ո"), ("o", "оοօ"), ("p", "р"),
+    ("q", "ԛ"), ("s", "ѕ"), ("u", "ս"), ("v", "ѵν"), ("w", "ԝ"), ("x", "х"), ("y", "уү"), ("ë", "ё"), ("Ë", "Ё"), ("ï", "ї"), ("Ï", "Ї"),
+]
 _FULL = ("".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))))
 _PLAIN = "text"
-for _a, _b in (_FULL, ("".join(LOOK) + "ёЁїЇ", "".join(LOOK.values()) + "ëËïÏ"), ("‐‑", "--")):
+for _a, _b in (_FULL, ("".join(x for _, x in _CAPITALS + _SMALL), "".join(c * len(x) for c, x in _CAPITALS + _SMALL)), ("‐‑", "--")):
     _PLAIN = "translate({}, '{}', '{}')".format(_PLAIN, _a.replace("'", "''"), _b.replace("'", "''"))
 for _a, _b in ((r"\r\n|\r|\x{85}|\x{2028}|\x{2029}", "' || chr(10) || '"), (r"[\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]", " "), (r"[\x{ad}\x{61c}\x{180b}-\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{fe00}-\x{fe0f}\x{feff}]", ""), ("ﬁ", "fi"), ("ﬂ", "fl"), ("…", "...")):
     _PLAIN = f"regexp_replace({_PLAIN}, '{_a}', '{_b}', 'g')"
-# The kinds of writing that the documents have, one after another; not the whole of `same_look`.
+# The kinds of writing that the documents have, one after another; not the whole of `same_look`. Accents are composed once more after letters are replaced.
+_FORMS = f"WITH f AS (SELECT doc_id, text, nfc_normalize({_PLAIN}) AS form FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)"
 P9_FOUND_SQL = f"""
-WITH f AS (SELECT doc_id, text, nfc_normalize({_PLAIN}) AS form FROM documents WHERE text IS NOT NULL)
+{_FORMS}
 SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text
 """
+P9_CLASSES_SQL = f"{_FORMS}, k AS (SELECT form, min(doc_id) AS look, count(*) AS n_rows, count(DISTINCT text) AS n_texts FROM f GROUP BY ALL) SELECT doc_id, look, n_rows, n_texts FROM f JOIN k USING (form)"
+P9_CANONICAL_SQL = f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN nfc_normalize({_PLAIN}) END AS text FROM documents"
 
 QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p1_nearest": p1_nearest, "p2_found": p2_found, "p2_percentiles": p2_percentiles, "p3_found": p3_found, "p4_found": p4_found, "p7_ids": p7_ids,
-    "p8_found": p8_found, "p8_shares": p8_shares, "p8_mixture": p8_mixture, "p9_found": p9_found, "p9_canonical": p9_canonical}
+    "p8_found": p8_found, "p8_shares": p8_shares, "p8_mixture": p8_mixture, "p9_found": p9_found, "p9_classes": p9_classes, "p9_canonical": p9_canonical}
 ORACLES = {
     "p1_found": P1_FOUND_SQL + "SELECT DISTINCT least(id, other) AS vec_id_a, greatest(id, other) AS vec_id_b FROM k WHERE pos <= 10",
     "p1_neighbours": P1_FOUND_SQL + "SELECT id AS vec_id, other AS neighbour_id, cosine, cast(pos AS INTEGER) AS pos FROM k WHERE pos <= 10",
@@ -191,6 +209,8 @@ ORACLES = {
 SELECT id AS vec_id, other AS neighbour_id, cosine, cast(pos AS INTEGER) AS pos FROM w WHERE pos <= 10""",
     "p3_found": P3_FOUND_SQL,
     "p9_found": P9_FOUND_SQL,
+    "p9_classes": P9_CLASSES_SQL,
+    "p9_canonical": P9_CANONICAL_SQL,
     "p2_percentiles": _P2,
     "p2_found": f"SELECT worker_id, cast(pct AS INTEGER) AS pct FROM ({_P2}) WHERE seconds > 20",
     "p4_found": P4_FOUND_SQL,

@@ -142,31 +142,46 @@ def canonical(text: Column) -> Column:
     return F.when(may_change, change(F.when(may_change, text))).otherwise(text)
 
 
-def look_alikes(df: DataFrame, id_column: str, text_column: str, all_pairs: int = 10_000) -> DataFrame:
-    """Pairs (`a` < `b`) of rows whose texts differ but have one canonical form; null texts and ids take no part.
+#: Parts that the rows of a form or text are spread over where they are joined with what is known of it.
+SALTS = 16
+#: Spellings of a form that one task pairs with all others.
+SPELLINGS = 1024
 
-    Rows are classes by exact text first. Of two classes that look alike all pairs come out, as long as these are no more
-    than `all_pairs`; of larger ones (a text with very many copies) each row of either is paired with the smallest id of the other,
-    which loses no link between different texts. Only classes that share their form with another are ever joined.
+
+def _keyed(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """`id`, digests of the form (`f1`, `f2`) and of the text (`t1`): 32 bytes a row, cut, as it is read several times and canonical forms are costly."""
+    known = df.where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(text_column).alias("t"), canonical(F.col(text_column)).alias("f"))
+    return cut(known.select("id", F.xxhash64("f").alias("f1"), F.xxhash64(F.lit(1), "f").alias("f2"), F.xxhash64("t", F.lit(2)).alias("t1")))
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def look_alikes(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """Pairs (`a` < `b`) of rows whose texts differ but have one canonical form; null texts and ids take no part, no rows give no pairs.
+
+    Exact copies of a text are a class, named by its smallest id. Of two classes that look alike each row of either is paired with the smallest id of the other: for n and m copies n + m - 1
+    pairs, whatever n and m are, and no link between different texts is lost. Only classes that share their form with another are joined; those of a form with very many spellings are
+    spread over tasks, as are the rows of a class.
     """
-    form = canonical(F.col(text_column))
-    # cut, as it is read four times and canonical forms are costly; digests only, 40 bytes a row
-    keyed = cut(
-        df.where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull())
-        .select(F.col(id_column).alias("id"), F.col(text_column).alias("t"), form.alias("f"))
-        .select("id", F.xxhash64("f").alias("f1"), F.xxhash64(F.lit(1), "f").alias("f2"), F.xxhash64("t", F.lit(2)).alias("t1"))
-    )
-    classes = keyed.groupBy("f1", "f2", "t1").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep"))
-    shared = classes.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    keyed = _keyed(df, id_column, text_column)
+    classes = keyed.groupBy("f1", "f2", "t1").agg(F.min("id").alias("rep"))
+    shared = classes.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("k")).where("k > 1").withColumn("parts", F.ceil(F.col("k") / SPELLINGS).cast("int")).drop("k")
     classes = classes.join(shared, ["f1", "f2"])
-    x, y = classes.alias("x"), classes.select("f1", "f2", F.col("t1").alias("u1"), F.col("n").alias("m"), F.col("rep").alias("rep_2")).alias("y")
-    links = x.join(y, ["f1", "f2"]).where("t1 <> u1")
-    few = F.col("n") * F.col("m") <= all_pairs
-    mine = keyed.select("t1", "f1", "f2", "id")
-    # each row of a class with the other class's smallest id, or with each of its rows
-    one = links.where(~few).join(mine, ["f1", "f2", "t1"]).select("id", F.col("rep_2").alias("other"))
-    rows = links.where(few & (F.col("t1") < F.col("u1"))).join(mine, ["f1", "f2", "t1"])
-    theirs = mine.select("f1", "f2", F.col("t1").alias("u1"), F.col("id").alias("other"))
-    every = rows.join(theirs, ["f1", "f2", "u1"]).select("id", "other")
-    pairs = one.union(every)
+    x = classes.withColumn("part", F.pmod("t1", F.col("parts")).cast("int"))
+    y = classes.select("f1", "f2", F.col("t1").alias("u1"), F.col("rep").alias("other"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    links = x.join(y, ["f1", "f2", "part"]).where("t1 <> u1").select("f1", "f2", "t1", "other")
+    rows = keyed.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    pairs = rows.join(_spread(links), ["f1", "f2", "t1", "_salt"]).select("id", "other")
     return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).where("a <> b").distinct()
+
+
+def look_classes(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """One row per row with an id and a text: `id_column`, `look` (the smallest id of those that look the same), `n_rows` and `n_texts` (rows and different texts of that look). As many rows
+    come out as go in, however many look alike."""
+    keyed = _keyed(df, id_column, text_column)
+    texts = keyed.groupBy("f1", "f2", "t1").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    looks = texts.groupBy("f1", "f2").agg(F.min("rep").alias("look"), F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_texts"))
+    rows = keyed.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    return rows.join(_spread(looks), ["f1", "f2", "_salt"]).select(F.col("id").alias(id_column), "look", "n_rows", "n_texts")

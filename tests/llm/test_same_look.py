@@ -56,9 +56,20 @@ def test_columns_and_pairs(spark):
     assert S.look_alikes(df.limit(0), "doc_id", "text").count() == 0
 
 
-def test_many_copies_lose_no_link(spark):
-    rows = [(i, "abc") for i in range(300)] + [(1000 + i, "аbc") for i in range(200)] + [(5000, "abс")]
+@pytest.mark.parametrize("n, m", [(20, 20), (2000, 2000), (1, 3000)])
+def test_copies_are_paired_the_same_way_at_every_size(spark, n, m):
+    df = spark.createDataFrame([(i, "abc") for i in range(n)] + [(10_000 + i, "аbc") for i in range(m)], "doc_id long, text string")
+    assert {(r["a"], r["b"]) for r in S.look_alikes(df, "doc_id", "text").collect()} == {(0, 10_000 + i) for i in range(m)} | {(i, 10_000) for i in range(n)}
+
+
+def test_many_spellings_and_a_hot_text_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(S, "SPELLINGS", 7)  # many parts
+    marks = ["\u200b" * i for i in range(1, 31)]
+    rows = [(i, "abc") for i in range(900)] + [(5000 + i, "abc" + m) for i, m in enumerate(marks)] + [(6000, "other")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    pairs = {(r["a"], r["b"]) for r in S.look_alikes(df, "doc_id", "text", all_pairs=10_000).collect()}
-    assert {(0, 1000 + i) for i in range(200)} <= pairs and {(i, 1000) for i in range(300)} <= pairs
-    assert {(i, 5000) for i in range(300)} <= pairs and {(1000 + i, 5000) for i in range(200)} <= pairs and len(pairs) == 500 - 1 + 500
+    pairs = [(r["a"], r["b"]) for r in S.look_alikes(df, "doc_id", "text").collect()]
+    want = {(i, 5000 + j) for i in range(900) for j in range(30)} | {(5000 + i, 5000 + j) for i in range(30) for j in range(i + 1, 30)}
+    assert set(pairs) == want and len(pairs) == len(want)
+    classes = {r["doc_id"]: (r["look"], r["n_rows"], r["n_texts"]) for r in S.look_classes(df.withColumn("look", F.lit("clash")), "doc_id", "text").collect()}
+    assert classes == {i: (0, 930, 31) for i, _ in rows[:-1]} | {6000: (6000, 1, 1)}
+    assert S.look_classes(df.limit(0), "doc_id", "text").count() == 0
