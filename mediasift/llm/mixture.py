@@ -8,6 +8,7 @@ repeat. Documents are then drawn by these weights.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,8 @@ from mediasift.session import cut
 
 #: Cells that the driver rakes: the bound of the control table that goes there. More are raked where they are.
 CELLS = 10_000
+#: Sources that a table of weights may list: it's a control table, which the driver reads and sends to all tasks.
+SOURCES = 100_000
 
 
 @dataclass(frozen=True)
@@ -28,7 +31,9 @@ class Raked:
     sources: list[str]
     target: np.ndarray
     reached: np.ndarray
+    short: list[bool]
     rounds: int
+    residual: float
 
 
 def _fill(w: np.ndarray, tokens: np.ndarray, cap: np.ndarray, goal: float) -> np.ndarray:
@@ -56,8 +61,10 @@ def _places(values: list) -> dict:
 
 def rake(cells: list[tuple], tokens: np.ndarray, shares: dict[str, float], repeats: dict[str, int], rounds: int = 200, tolerance: float = 1e-9) -> Raked:
     """`cells`: (source, level, level, ...) with their tokens. Each round fits the margins of the levels, which keep the
-    proportions they have in the corpus, and last the sources, whose targets are shares of all tokens of the listed
-    sources. So sources are met exactly unless capped, and the others as near as that allows."""
+    proportions they have in the corpus (of the tokens that the sources can give), and last the sources, whose targets are shares of all tokens of the listed
+    sources. It ends when no weight moves by more than the tolerance, or after `rounds`. So sources are met exactly unless capped, and the others as near as that allows: `residual` is
+    the largest distance of a level from its goal, by the goal. A source is `short` if all its cells stand at their caps and still give less than its target; that is decided in
+    whole tokens and exact fractions, as a rounding must not."""
     names = sorted(shares)
     total = float(tokens.sum())
     target = np.array([shares[s] * total for s in names])
@@ -78,7 +85,14 @@ def rake(cells: list[tuple], tokens: np.ndarray, shares: dict[str, float], repea
             w[m] = _fill(w[m], tokens[m], cap[m], t)
         if not len(w) or np.abs(w - before).max() <= tolerance:
             break
-    return Raked(cells, w, names, target, np.array([(w * tokens)[m].sum() for m in member]), done)
+    off = [abs((w * tokens)[m].sum() / (g * size) - 1) for margin, goal in zip(margins, goals) for m, g in zip(margin, goal) if g * size > 0]
+    full = [bool((w[m] >= cap[m] * (1 - 1e-9)).all()) and too_few(sum(int(t) for t in tokens[m]), repeats[s], shares[s], int(total)) for m, s in zip(member, names)]
+    return Raked(cells, w, names, target, np.array([(w * tokens)[m].sum() for m in member]), full, done, max(off, default=0.0))
+
+
+def too_few(tokens: int, repeats: int, share: float, total: int) -> bool:
+    """Whether all tokens, repeated as often as allowed, are fewer than the share of the total: exactly, the share taken as the decimal that it is written as."""
+    return tokens * max(repeats, 0) < Fraction(repr(share)) * total
 
 
 def rake_wide(cells: DataFrame, names: list[str], plan: dict[str, tuple[float, int]], rounds: int = 200, tolerance: float = 1e-9) -> tuple[DataFrame, Raked]:
@@ -110,25 +124,31 @@ def rake_wide(cells: DataFrame, names: list[str], plan: dict[str, tuple[float, i
         change = now.agg(F.max(F.abs(F.col("_w") - F.col("_before")))).first()[0]
         if change is None or change <= tolerance:
             break
-    got = {r["source"]: r["t"] for r in now.groupBy("source").agg(F.sum(F.col("_w") * F.col("tokens")).alias("t")).collect()}
+    of_source = now.groupBy("source").agg(F.sum(F.col("_w") * F.col("tokens")).alias("t"), F.min(F.col("_w") - F.col("_cap") * (1 - 1e-9)).alias("room"))
+    got = {r["source"]: (r["t"], r["room"] >= 0) for r in of_source.collect()}
     sources = sorted(plan)
-    sums = Raked([], np.empty(0), sources, np.array([target[s] for s in sources]), np.array([got.get(s, 0.0) for s in sources]), done)
+    short = [got.get(s, (0.0, True))[1] and too_few(int(have.get(s, 0)), plan[s][1], plan[s][0], int(total)) for s in sources]
+    off = [now.groupBy(n).agg(F.abs(F.sum(F.col("_w") * F.col("tokens")) / F.nullif(F.sum("tokens") * size, F.lit(0.0)) - 1).alias("o")).agg(F.max("o")).first()[0] or 0.0 for n in names]
+    sums = Raked([], np.empty(0), sources, np.array([target[s] for s in sources]), np.array([got.get(s, (0.0, True))[0] for s in sources]), short, done, max(off, default=0.0))
     return now.select("source", *names, "_w", "_cap"), sums
 
 
 def mix(documents: DataFrame, weights: DataFrame, id_column: str, source: Column, tokens: Column, margins: dict[str, Column], seed: int = 7, most_cells: int = CELLS) -> tuple[DataFrame, DataFrame]:
     """Two tables: `id_column`, `source`, `tokens` and `copies` of each document that is in the mixture, and the report by source:
     `source`, `target_share`, `max_repeats`, `tokens` (available), `target_tokens`, `capped_tokens` (the most that repeats
-    allow), `raked_tokens`, `mixed_tokens`, `actual_share`, `reachable`.
+    allow), `raked_tokens`, `mixed_tokens`, `actual_share` (of what is mixed), `share_of_target` (of the total that the targets are shares of: where some sources fall short, others have more of what is mixed, but
+    no more of this), `reachable`, and of the raking `rounds` and `residual` (the largest distance of a level of a margin from its goal).
 
-    `weights` (`source`, `target_share`, `max_repeats`) has a few rows. Only sources listed there take part; a listed source without
+    `weights` (`source`, `target_share`, `max_repeats`) has few rows; more than SOURCES are an error. Only sources listed there take part; a listed source without
     documents reaches nothing. A null share or cap counts as 0, of a source listed twice the shares add up and the larger
     cap holds. Null sources match nothing; null levels of a margin are a level. Documents without tokens are in no mixture. A document gets the
     integer part of its weight as copies, and one more with the probability of the rest, decided by a hash of its id: the
     same in every run, and never more than the source's cap. Every level of a margin is told apart; up to `most_cells` cells are raked by the driver, more by Spark.
     """
     listed = weights.groupBy("source").agg(F.sum(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(0))).alias("max_repeats")).where("source IS NOT NULL")
-    plan = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in listed.collect()}
+    plan = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in listed.limit(SOURCES + 1).collect()}
+    if len(plan) > SOURCES:
+        raise ValueError(f"a table of weights lists at most {SOURCES} sources")
     names = list(margins)
     base = documents.select(F.col(id_column), source.alias("source"), tokens.cast("long").alias("tokens"), *(F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in margins.items()))
     # cut, as it is read several times, and counting tokens is costly
@@ -149,14 +169,15 @@ def mix(documents: DataFrame, weights: DataFrame, id_column: str, source: Column
     drawn = counted.where("tokens > 0").join(by_cell, ["source", *names]).withColumn("copies", copies.cast("int"))
     mixed = drawn.where("copies > 0").select(id_column, "source", "tokens", "copies")
     got = counted.groupBy("source").agg(F.sum("tokens").alias("tokens")).alias("a")
-    rows = [(s, plan[s][0], plan[s][1], float(t), float(r), bool(r >= t * (1 - 1e-9))) for s, t, r in zip(raked.sources, raked.target, raked.reached)]
-    report = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, target_tokens double, raked_tokens double, reachable boolean")
+    rows = [(s, plan[s][0], plan[s][1], float(t), float(r), not low, raked.rounds, float(raked.residual)) for s, t, r, low in zip(raked.sources, raked.target, raked.reached, raked.short)]
+    report = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, target_tokens double, raked_tokens double, reachable boolean, rounds int, residual double")
     total = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"))
     report = report.join(got, "source", "left").join(total, "source", "left").fillna(0, ["tokens", "mixed_tokens"])
     everything = mixed.agg(F.sum(F.col("tokens") * F.col("copies")).alias("_all"))
     report = report.crossJoin(everything).select(
         "source", "target_share", "max_repeats", "tokens", "target_tokens",
         (F.col("tokens") * F.col("max_repeats")).alias("capped_tokens"), "raked_tokens", "mixed_tokens",
-        F.coalesce(F.col("mixed_tokens") / F.col("_all"), F.lit(0.0)).alias("actual_share"), "reachable",
+        F.coalesce(F.col("mixed_tokens") / F.nullif("_all", F.lit(0)), F.lit(0.0)).alias("actual_share"),
+        F.coalesce(F.col("mixed_tokens") * F.col("target_share") / F.nullif("target_tokens", F.lit(0.0)), F.lit(0.0)).alias("share_of_target"), "reachable", "rounds", "residual",
     )
     return mixed, report

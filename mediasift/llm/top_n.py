@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mediasift.session import cut
+
 SALTS = 16
 
 
@@ -24,7 +26,8 @@ def top_n_per_group(df: DataFrame, group: str, item: str, score: str, n: int, lo
     and a salt, and ranking keeps n rows a group and task before it shuffles.
     """
     s = F.col(score).cast("double")
-    best = (
+    # cut, as it is read twice: one row per group and item
+    best = cut(
         df.select(F.col(group).alias("_g"), F.col(item).alias("_i"), s.alias("_s"))
         .where(F.col("_g").isNotNull() & F.col("_i").isNotNull() & F.col("_s").between(low, high))
         .groupBy("_g", "_i")

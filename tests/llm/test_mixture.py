@@ -1,7 +1,8 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from mediasift.llm.mixture import _fill, mix, rake
+from mediasift.llm.mixture import _fill, mix, rake, too_few
 
 
 def test_filling_under_caps():
@@ -71,3 +72,18 @@ def test_rare_levels_keep_their_own_margin(spark):
             got[key] = got.get(key, 0) + r["tokens"] * r["copies"]
         # 8 rare levels of either kind, all of 1400 tokens
         assert abs(got[0] / 11_200 - 1) < 0.15 and abs(got[1] / 11_200 - 1) < 0.15
+
+
+def test_what_is_short_is_decided_exactly():
+    r = rake([("a", "x"), ("b", "x")], np.array([100.0, 900.0]), {"a": 0.2, "b": 0.8}, {"a": 2, "b": 1})
+    assert r.short == [False, False] and r.residual < 1e-6 and r.rounds < 200
+    assert rake([("a", "x"), ("b", "x")], np.array([99.0, 901.0]), {"a": 0.2, "b": 0.8}, {"a": 2, "b": 1}).short == [True, False]
+    assert too_few(100_000_000_000_000_000, 1, 0.1, 1_000_000_000_000_000_001) and not too_few(100_000_000_000_000_000, 1, 0.1, 1_000_000_000_000_000_000)
+
+
+def test_more_sources_than_a_control_table_has(spark, monkeypatch):
+    monkeypatch.setattr("mediasift.llm.mixture.SOURCES", 3)
+    df = spark.createDataFrame([(1, "s0", 5)], "doc_id long, source string, size int")
+    weights = spark.range(4).selectExpr("concat('s', id) AS source", "0.25D AS target_share", "1 AS max_repeats")
+    with pytest.raises(ValueError, match="at most 3 sources"):
+        mix(df, weights, "doc_id", F.col("source"), F.col("size"), {})
