@@ -22,22 +22,13 @@ SECONDS = 1e-6
 VOCABULARY = os.environ.get("MEDIASIFT_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
-def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_vectors(table(spark, sf_dir, "index_frames").select("vec_id", "embeddings"), "vec_id", "embeddings", 64, k=10, floor=0.9)
-
-
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of frames with a cosine of 0.9 or more, one among the 10 most similar of the other."""
-    near = _neighbours(spark, sf_dir)
+    near = similar_vectors(table(spark, sf_dir, "index_frames").select("vec_id", "embeddings"), "vec_id", "embeddings", 64, k=10, floor=0.9)
     return near.select(F.least("id", "neighbour").alias("vec_id_a"), F.greatest("id", "neighbour").alias("vec_id_b")).distinct()
 
 
 def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each frame's most similar frames, with their cosine and place, of those with a cosine of 0.9 or more; `p1_nearest` has them without that bound."""
-    return _neighbours(spark, sf_dir).select(F.col("id").alias("vec_id"), F.col("neighbour").alias("neighbour_id"), "cosine", "pos")
-
-
-def p1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each frame's 10 most similar frames of the whole index, however similar, with their cosine and place."""
     near = nearest_vectors(table(spark, sf_dir, "index_frames").select("vec_id", "embeddings"), "vec_id", "embeddings", 64, k=10)
     return near.select(F.col("id").alias("vec_id"), F.col("neighbour").alias("neighbour_id"), "cosine", "pos")
@@ -194,12 +185,11 @@ SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form =
 P9_CLASSES_SQL = f"{_FORMS}, k AS (SELECT form, min(doc_id) AS look, count(*) AS n_rows, count(DISTINCT text) AS n_texts FROM f GROUP BY ALL) SELECT doc_id, look, n_rows, n_texts FROM f JOIN k USING (form)"
 P9_CANONICAL_SQL = f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN nfc_normalize({_PLAIN}) END AS text FROM documents"
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p1_nearest": p1_nearest, "p2_found": p2_found, "p2_percentiles": p2_percentiles, "p3_found": p3_found, "p4_found": p4_found, "p7_ids": p7_ids,
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_percentiles": p2_percentiles, "p3_found": p3_found, "p4_found": p4_found, "p7_ids": p7_ids,
     "p8_found": p8_found, "p8_shares": p8_shares, "p8_mixture": p8_mixture, "p9_found": p9_found, "p9_classes": p9_classes, "p9_canonical": p9_canonical}
 ORACLES = {
     "p1_found": P1_FOUND_SQL + "SELECT DISTINCT least(id, other) AS vec_id_a, greatest(id, other) AS vec_id_b FROM k WHERE pos <= 10",
-    "p1_neighbours": P1_FOUND_SQL + "SELECT id AS vec_id, other AS neighbour_id, cosine, cast(pos AS INTEGER) AS pos FROM k WHERE pos <= 10",
-    "p1_nearest": P1_FOUND_SQL + """, w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, other) AS pos FROM c)
+    "p1_neighbours": P1_FOUND_SQL + """, w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, other) AS pos FROM c)
 SELECT id AS vec_id, other AS neighbour_id, cosine, cast(pos AS INTEGER) AS pos FROM w WHERE pos <= 10""",
     "p3_found": P3_FOUND_SQL,
     "p9_found": P9_FOUND_SQL,

@@ -5,8 +5,9 @@ the signed axis nearest to it: one of 2 d values, which similar vectors share. A
 is stored in its own bucket of every table and looks into the next likely buckets too (multiprobe). Vectors that meet are
 compared by a 128-bit sketch of signs first, then exactly, in double.
 
-Only ids and sketches are shuffled per table, and once for all probes that lie in one region (the buckets that share
-their first axes); vectors are shuffled once, and once more per surviving pair.
+A vector travels once per table, to its region: the buckets that share all axes but the last two. It brings what the task there needs to tell its probes
+itself, so more probes cost no more disk. How many tables there are follows from the share of pairs that a table finds, measured on random pairs of the wanted cosine; so recall is the
+same for any size, number of hash functions and dimension. Vectors are shuffled once, and once more per surviving pair.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +28,16 @@ from mediasift.session import cut, width
 
 SALTS = 16
 SKETCH = 128
-#: Bits of a bucket's number within its region; with two flags four of them fill 64 bits.
-LOW = 14
+#: Likely axes of a hash function that probes are made of, and the bits of how much less likely each further one is.
+LIKELY, LOSS = 3, 4
 #: Pairs that are compared in one array operation.
 BLOCK = 2_000_000
 #: A bucket with more entries is a crowd: its vectors are searched exactly, in blocks of so many, which keeps the best of each.
 DENSE = 4096
+#: Entries of a region that a task holds at once. A wider region is parted into its buckets, each of which any task may get.
+HELD = 250_000
+#: Crowded buckets that are sent to all tasks; more of them are joined.
+SENT = 100_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -47,92 +53,118 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class CrossPolytope:
-    """Tables of hashes for vectors of `dim` numbers. More tables and probes find more; more functions a table make
-    buckets smaller, so their number follows the logarithm of the collection."""
+    """Tables of hashes for vectors of `dim` numbers. More tables find more; more functions a table make buckets smaller."""
 
     dim: int
     tables: int
     functions: int
-    probes: int
+    probes: int = 6
     seed: int = 11
 
     @classmethod
-    def for_size(cls, dim: int, rows: int) -> CrossPolytope:
-        """As few functions as keep about 64 of evenly spread vectors a bucket, with tables and probes to find 99 percent
-        of the pairs with a cosine of 0.9 (measured: 0.990 at 2 functions, 0.993 at 3, both in 64 dimensions)."""
-        functions = max(2, math.ceil(math.log(max(rows, 2) / 64) / math.log(2 * dim)))
-        return cls(dim, {2: 5, 3: 8}.get(functions, 8 + 6 * (functions - 3)), functions, 4)
+    def for_recall(cls, dim: int, rows: int, cosine: float, recall: float = 0.99, functions: int | None = None) -> CrossPolytope:
+        """Three functions, or as many more as keep about 64 of evenly spread vectors a bucket (in 64 dimensions from 134 million on), and as many tables as
+        find this share of the pairs that have just this cosine; of nearer ones more are found."""
+        functions = functions or max(3, math.ceil(math.log(max(rows, 2) / 64) / math.log(2 * cls(dim, 1, 1).padded)))
+        share = _share_found(dim, functions, cls(dim, 1, functions).probes, round(max(cosine, 0.5), 3))
+        return cls(dim, max(1, math.ceil(math.log(1 - recall) / math.log(1 - share))), functions)
 
     @property
     def padded(self) -> int:
         return 1 << max(1, (self.dim - 1).bit_length())
 
-    def rotations(self) -> list[list[np.ndarray]]:
-        """Per table and function the rotation that three rounds make, as a matrix: at this width one product is faster
-        than the rounds one by one."""
-        rng = np.random.default_rng(self.seed)
-        out = []
-        for _ in range(self.tables):
-            row = []
-            for _ in range(self.functions):
-                m = np.eye(self.dim, self.padded)
-                for _ in range(3):
-                    m = hadamard(m * rng.choice([-1.0, 1.0], self.padded))
-                row.append(m.astype("f4"))
-            out.append(row)
-        return out
+    @property
+    def low(self) -> int:
+        """How many of the last axes are told apart within a region."""
+        return min(2, self.functions - 1)
+
+    @property
+    def axis_bits(self) -> int:
+        return (2 * self.padded - 1).bit_length()
+
+    @property
+    def codes(self) -> int:
+        """Numbers of 64 bits that hold what an entry brings beside its region: per axis its likely values and their losses."""
+        each = 63 // (LIKELY * self.axis_bits + (LIKELY - 1) * LOSS)
+        return -(-self.low // each)
+
+    def rotations(self, table: int) -> list[np.ndarray]:
+        """Per function the rotation that three rounds make, as a matrix: one product is faster than the rounds one by one (README)."""
+        rng = np.random.default_rng([self.seed, table])
+        row = []
+        for _ in range(self.functions):
+            m = np.eye(self.dim, self.padded)
+            for _ in range(3):
+                m = hadamard(m * rng.choice([-1.0, 1.0], self.padded))
+            row.append(m.astype("f4"))
+        return row
 
     def planes(self) -> np.ndarray:
         return np.random.default_rng(self.seed + 1).standard_normal((self.dim, SKETCH)).astype("f4")
 
-    def buckets(self, unit: np.ndarray, rotations: list[np.ndarray], table: int) -> np.ndarray:
-        """Bucket numbers of each vector in one table, the likeliest (its own) first."""
-        axes, loss = [], []
-        per = min(3, self.padded)
-        for r in rotations:
+    def entries(self, unit: np.ndarray, rotations: list[np.ndarray], table: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Each vector's region in one table, and its codes."""
+        e = self.axis_bits
+        region, parts = np.zeros(len(unit), np.int64), []
+        for f, r in enumerate(rotations):
             y = unit @ r
-            a = np.abs(y)
-            top = np.argpartition(-a, per - 1, axis=1)[:, :per]
-            size = np.take_along_axis(a, top, 1)
-            order = np.argsort(-size, axis=1, kind="stable")
-            top, size = np.take_along_axis(top, order, 1), np.take_along_axis(size, order, 1)
-            axes.append((2 * top + (np.take_along_axis(y, top, 1) < 0)).astype(np.int64))
-            loss.append(size[:, :1] - size)
-        combos = sorted(itertools.product(range(per), repeat=self.functions), key=sum)[: 4 * self.probes]
-        cost = np.stack([sum(loss[f][:, c[f]] for f in range(self.functions)) for c in combos], axis=1)
-        best = np.argsort(cost, axis=1, kind="stable")[:, : self.probes]
-        number = np.zeros((len(unit), len(combos)), np.int64)
-        for f in range(self.functions):
-            number = number * (2 * self.padded) + np.stack([axes[f][:, c[f]] for c in combos], axis=1)
-        return np.take_along_axis(number, best, 1) * self.tables + table
-
-    @property
-    def low_bits(self) -> tuple[int, int]:
-        """How many of the last axes of a bucket are told apart within its region, and in how many bits."""
-        each = (2 * self.padded - 1).bit_length()
-        return (last := max(1, min(self.functions - 1, LOW // each))), last * each
-
-    def regions(self, unit: np.ndarray, rotations: list[np.ndarray], table: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, region, code) for each region that a vector looks into: the code holds, 16 bits each, its buckets there,
-        with a bit that tells its own one and a bit that tells it's set."""
-        slots = self.buckets(unit, rotations, table)
-        number = slots // self.tables
-        size = (2 * self.padded) ** self.low_bits[0]
-        region, rest = number // size, number % size
-        field = (rest << 2) | 1
-        field[:, 0] |= 2
-        rows, regions, codes = [], [], []
-        left = np.ones(slots.shape, bool)
-        for i in range(slots.shape[1]):
-            who = np.flatnonzero(left[:, i])
-            same = left[who] & (region[who] == region[who, i][:, None])
-            place = np.cumsum(same, axis=1) - 1
-            code = np.where(same, field[who] << np.where(same, 16 * place, 0), 0)
-            left[who] &= ~same
-            rows.append(who)
-            regions.append(region[who, i] * self.tables + table)
-            codes.append(np.bitwise_or.reduce(code, axis=1))
-        return np.concatenate(rows), np.concatenate(regions), np.concatenate(codes)
+            size = np.abs(y)
+            if f < self.functions - self.low:
+                top = size.argmax(axis=1)
+                region = region * (2 * self.padded) + 2 * top + (np.take_along_axis(y, top[:, None], 1)[:, 0] < 0)
+                continue
+            code = np.zeros(len(unit), np.int64)
+            best = None
+            for k in range(LIKELY):
+                top = size.argmax(axis=1)[:, None]
+                now = np.take_along_axis(size, top, 1)
+                best = now if best is None else best
+                axis = 2 * top[:, 0] + (np.take_along_axis(y, top, 1)[:, 0] < 0)
+                code |= axis.astype(np.int64) << (k * e)
+                if k:
+                    loss = np.minimum(np.round((best - np.maximum(now, 0))[:, 0] * math.sqrt(self.padded) * 8), 2**LOSS - 1).astype(np.int64)
+                    code |= loss << (LIKELY * e + (k - 1) * LOSS)
+                np.put_along_axis(size, top, -1.0, axis=1)
+            parts.append(code)
+        each, bits = -(-self.low // self.codes), LIKELY * e + (LIKELY - 1) * LOSS
+        codes = [sum((p << (bits * i) for i, p in enumerate(parts[at : at + each])), np.zeros(len(unit), np.int64)) for at in range(0, self.low, each)]
+        return region * self.tables + table, codes
+
+    def buckets(self, codes: list[np.ndarray]) -> np.ndarray:
+        """The buckets within its region that each entry looks into, its own first, then the likeliest."""
+        e = self.axis_bits
+        each, bits = -(-self.low // self.codes), LIKELY * e + (LIKELY - 1) * LOSS
+        axes, losses = [], []
+        for i in range(self.low):
+            code = codes[i // each] >> np.int64(bits * (i % each))
+            axes.append([(code >> np.int64(k * e)) & ((1 << e) - 1) for k in range(LIKELY)])
+            losses.append([np.zeros(len(code), np.int64), *((code >> np.int64(LIKELY * e + k * LOSS)) & (2**LOSS - 1) for k in range(LIKELY - 1))])
+        combos = sorted(itertools.product(range(LIKELY), repeat=self.low), key=sum)
+        cost = np.stack([sum(losses[i][c[i]] for i in range(self.low)) for c in combos], axis=1)
+        cost[:, 0] = -1
+        number = np.zeros((len(codes[0]), len(combos)), np.int64)
+        for i in range(self.low):
+            number = (number << e) + np.stack([axes[i][c[i]] for c in combos], axis=1)
+        return np.take_along_axis(number, np.argsort(cost, axis=1, kind="stable")[:, : self.probes], 1)
+
+
+@lru_cache(maxsize=64)
+def _share_found(dim: int, functions: int, probes: int, cosine: float, pairs: int = 2000, tables: int = 8) -> float:
+    """The share of random pairs of unit vectors with this cosine that a table finds, over several tables; at least one in as many as are tried."""
+    rng = np.random.default_rng(17)
+    a, b = rng.standard_normal((2, pairs, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-12)
+    both = np.concatenate([a, cosine * a + math.sqrt(max(0.0, 1 - cosine * cosine)) * b]).astype("f4")
+    plan, found = CrossPolytope(dim, tables, functions, probes), 0
+    for t in range(tables):
+        region, codes = plan.entries(both, plan.rotations(t), t)
+        looks = plan.buckets(codes)
+        x, y = looks[:pairs], looks[pairs:]
+        meet = (x == y[:, :1]).any(axis=1) | (y == x[:, :1]).any(axis=1)
+        found += int((meet & (region[:pairs] == region[pairs:])).sum())
+    return min(max(found, 1) / (pairs * tables), 1 - 1e-9)
 
 
 def vectors_of(column: pa.Array, dim: int) -> np.ndarray:
@@ -141,11 +173,15 @@ def vectors_of(column: pa.Array, dim: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(-1, dim)
 
 
+def _names(plan: CrossPolytope) -> list[str]:
+    return ["region", "id", "s1", "s2", *(f"c{i}" for i in range(plan.codes))]
+
+
 def _entries(plan: CrossPolytope):
-    """(id, vec) to the entries of each vector, one per table and region."""
+    """(id, vec) to the entries of each vector, one per table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rotations, planes = plan.rotations(), plan.planes()
+        rotations, planes = [plan.rotations(t) for t in range(plan.tables)], plan.planes()
         weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
@@ -156,10 +192,9 @@ def _entries(plan: CrossPolytope):
                 unit = (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype("f4")
                 bits = (unit @ planes) > 0
                 s = [(bits[:, i : i + 64] * weights).sum(axis=1, dtype=np.uint64).view(np.int64) for i in (0, 64)]
-                ids = np.asarray(b.column(0))
                 for t in range(plan.tables):
-                    row, region, code = plan.regions(unit, rotations[t], t)
-                    yield pa.RecordBatch.from_arrays([pa.array(region), pa.array(ids[row]), pa.array(s[0][row]), pa.array(s[1][row]), pa.array(code)], ["region", "id", "s1", "s2", "code"])
+                    region, codes = plan.entries(unit, rotations[t], t)
+                    yield pa.RecordBatch.from_arrays([pa.array(region), b.column(0), *map(pa.array, s), *map(pa.array, codes)], _names(plan))
 
     return run
 
@@ -199,69 +234,139 @@ def _pairs_of(r: dict[str, np.ndarray], far: int, crowded, crowd: int) -> Iterat
     crowded.add(int(dense.sum()))
 
 
-def _entered(r: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Entries of regions to one row per bucket, sorted by `slot` and `probe` (0 for the own bucket)."""
-    parts = []
-    for i in range(4):
-        field = (r["code"] >> np.int64(16 * i)) & 0xFFFF
-        there = np.flatnonzero(field & 1)
-        parts.append((there, field[there]))
-    row, field = (np.concatenate(x) for x in zip(*parts))
-    out = {c: r[c][row] for c in ("region", "id", "s1", "s2")} | {"low": field >> 2, "probe": 1 - ((field >> 1) & 1)}
-    order = np.lexsort((out["probe"], out["low"], out["region"]))
-    out = {c: v[order] for c, v in out.items()}
+def _entered(plan: CrossPolytope, r: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Entries to one row per bucket that they look into, sorted by `slot` and `probe` (0 for the own bucket)."""
+    looks = plan.buckets([r[f"c{i}"] for i in range(plan.codes)])
+    row = np.repeat(np.arange(len(looks)), looks.shape[1])
+    low, probe = looks.ravel(), np.tile(np.r_[0, np.ones(looks.shape[1] - 1, np.int64)], len(looks))
+    order = np.lexsort((probe, low, r["region"][row]))
+    out = {c: r[c][row[order]] for c in ("region", "id", "s1", "s2")} | {"low": low[order], "probe": probe[order]}
     new = (out["region"][1:] != out["region"][:-1]) | (out["low"][1:] != out["low"][:-1])
     out["slot"] = np.cumsum(np.r_[False, new]) if len(row) else row
     return out
 
 
-def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Entries sorted by region, in pieces of whole regions."""
-    names = ("region", "id", "s1", "s2", "code")
-    held: list[dict[str, np.ndarray]] = []
-    count = 0
+def _regions(batches: Iterator[pa.RecordBatch], names: list[str], key: str, held: int, wide: bool) -> Iterator[dict[str, np.ndarray]]:
+    """Rows sorted by `key` in pieces of whole keys, of at most about `held` rows. A key with more rows isn't there; with `wide` only such are, in pieces of any kind. However many rows a
+    key has, no more are held, and none is copied twice."""
+    parts: list[dict[str, np.ndarray]] = []
+    count, over = 0, None  # rows held, and the key that has too many
     for b in batches:
-        held.append({c: np.asarray(b.column(c)) for c in names})
-        count += b.num_rows
-        if count > 100_000:
-            all_ = {c: np.concatenate([h[c] for h in held]) for c in names}
-            last = int(np.searchsorted(all_["region"], all_["region"][-1]))
-            if last:
-                yield {c: v[:last] for c, v in all_.items()}
-            held, count = [{c: v[last:] for c, v in all_.items()}], count - last
-    if held:
-        yield {c: np.concatenate([h[c] for h in held]) for c in names}
+        new = {c: np.asarray(b.column(c)) for c in names}
+        if over is not None:
+            past = int(np.searchsorted(new[key], over, side="right"))
+            if wide and past:
+                yield {c: v[:past] for c, v in new.items()}
+            new = {c: v[past:] for c, v in new.items()}
+        if not len(new[key]):
+            continue
+        over = None
+        parts.append(new)
+        count += len(new[key])
+        if count <= held:
+            continue
+        whole = {c: np.concatenate([x[c] for x in parts]) for c in names}
+        last = int(np.searchsorted(whole[key], whole[key][-1]))
+        if last:
+            yield from _narrow(whole, last, key, held, wide)
+        rest = {c: v[last:] for c, v in whole.items()}
+        parts, count = [rest], count - last
+        if count > held:
+            over = rest[key][0]
+            if wide:
+                yield rest
+            parts, count = [], 0
+    if parts:
+        whole = {c: np.concatenate([x[c] for x in parts]) for c in names}
+        yield from _narrow(whole, count, key, held, wide)
+
+
+def _narrow(whole: dict[str, np.ndarray], end: int, key: str, held: int, wide: bool) -> Iterator[dict[str, np.ndarray]]:
+    """Of whole keys, up to a row, those that have no more than `held` rows, or with `wide` the others."""
+    _, size = np.unique(whole[key][:end], return_counts=True)
+    pick = np.repeat((size > held) == wide, size)
+    if pick.any():
+        yield {c: v[:end] if pick.all() else v[:end][pick] for c, v in whole.items()}
+
+
+def _once(pairs: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Pairs, each once for as many as are at hand."""
+    seen: list[np.ndarray] = []
+    for p in [*pairs, None]:
+        if p is not None:
+            seen.append(p)
+        if seen and (p is None or sum(map(len, seen)) > BLOCK):
+            both = np.concatenate(seen)
+            seen = []
+            both = both[np.lexsort((both[:, 1], both[:, 0]))]
+            both = both[np.r_[True, (both[1:] != both[:-1]).any(axis=1)]] if len(both) else both
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+
+
+def _collide(plan: CrossPolytope, far: int, left_out, crowd: int, held: int):
+    """Entries sorted by region to candidate pairs; crowded buckets and wide regions are only counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = read = 0
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            nonlocal read
+            for b in batches:
+                read += b.num_rows
+                yield b
+
+        for r in _regions(counted(), _names(plan), "region", held, False):
+            seen += len(r["region"])
+            yield from _once(_pairs_of(_entered(plan, r), far, left_out, crowd))
+        left_out.add(read - seen)
+
+    return run
 
 
-def _collide(far: int, crowded, crowd: int):
-    """Entries sorted by region to candidate pairs, each once for as many buckets as are at hand."""
+def _parted(plan: CrossPolytope, held: int):
+    """Entries of wide regions to one row per bucket that they look into."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _regions(batches):
-            seen: list[np.ndarray] = []
-            for p in [*_pairs_of(_entered(r), far, crowded, crowd), None]:
-                if p is not None:
-                    seen.append(p)
-                if seen and (p is None or sum(map(len, seen)) > BLOCK):
-                    both = np.concatenate(seen)
-                    seen = []
-                    both = both[np.lexsort((both[:, 1], both[:, 0]))]
-                    both = both[np.r_[True, (both[1:] != both[:-1]).any(axis=1)]] if len(both) else both
-                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+        for r in _regions(batches, _names(plan), "region", held, True):
+            e = _entered(plan, r)
+            slot = (e["region"] << np.int64(plan.low * plan.axis_bits)) | e["low"]
+            yield pa.RecordBatch.from_arrays([pa.array(slot), *(pa.array(e[c]) for c in ("id", "s1", "s2", "probe"))], ["slot", "id", "s1", "s2", "probe"])
 
     return run
 
 
-def _crowds(crowd: int):
-    """Members of the buckets that `_collide` left out: the bucket, the number of its entries, and id."""
+SLOTS = ["slot", "id", "s1", "s2", "probe"]
+
+
+def _collide_slots(far: int, left_out, crowd: int):
+    """Rows sorted by slot and probe to candidate pairs; crowded buckets are only counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _regions(batches, SLOTS, "slot", crowd, False):
+            yield from _once(_pairs_of(r, far, left_out, crowd))
+
+    return run
+
+
+def _crowds(plan: CrossPolytope, crowd: int, held: int):
+    """Members of the buckets that `_collide` left out, as bucket and id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _regions(batches):
-            e = _entered(r)
-            sizes = np.bincount(e["slot"])
-            inside = np.flatnonzero(sizes[e["slot"]] > crowd)
-            bucket = (e["region"][inside] << LOW) | e["low"][inside]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(sizes[e["slot"][inside]].astype(np.int64)), pa.array(e["id"][inside])], ["bucket", "size", "id"])
+        for r in _regions(batches, _names(plan), "region", held, False):
+            e = _entered(plan, r)
+            inside = np.flatnonzero(np.bincount(e["slot"])[e["slot"]] > crowd)
+            bucket = (e["region"][inside] << np.int64(plan.low * plan.axis_bits)) | e["low"][inside]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(e["id"][inside])], ["bucket", "id"])
+
+    return run
+
+
+def _crowded_slots(crowd: int):
+    """Members of the slots that `_collide_slots` left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _regions(batches, SLOTS, "slot", crowd, True):
+            yield pa.RecordBatch.from_arrays([pa.array(r["slot"]), pa.array(r["id"])], ["bucket", "id"])
 
     return run
 
@@ -284,12 +389,13 @@ def _best_in_block(dim: int, k: int, floor: float):
     return run
 
 
-def _search_crowds(entries: DataFrame, vectors: DataFrame, dim: int, k: int, floor: float, crowd: int) -> DataFrame:
-    """Neighbours (`x`, `y`, `cosine`) within crowded buckets, exactly: members are spread over blocks, each block of a bucket meets each other one, and a vector keeps
-    its k best of a block. So a bucket of any size is many tasks, and none of them gives all pairs."""
-    members = entries.mapInArrow(_crowds(crowd), "bucket long, size long, id long").distinct()
-    n = F.ceil(F.col("size") / crowd).cast("int")
-    placed = members.withColumn("n", n).withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).join(vectors, "id")
+def _search_crowds(members: DataFrame, vectors: DataFrame, dim: int, k: int, floor: float, crowd: int) -> DataFrame:
+    """Neighbours (`x`, `y`, `cosine`) within crowded buckets (`bucket`, `id`), exactly: members are spread over blocks, each block of a bucket meets each other one, and a vector keeps
+    its k best of a block. So a bucket of any size is many tasks, and none of them gives all pairs; the work is the square of the bucket."""
+    members = cut(members.distinct())
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / crowd).cast("int").alias("n"))
+    sizes = F.broadcast(sizes) if sizes.count() <= SENT else sizes
+    placed = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).join(vectors, "id")
     packed = placed.groupBy("bucket", "n", "block").agg(F.collect_list(F.struct("id", "vec")).alias("m"))
     packed = cut(packed.select("bucket", "n", "block", F.col("m.id").alias("ids"), F.flatten("m.vec").alias("flat")))
     data = packed.select("bucket", "block", F.col("ids").alias("d_ids"), F.col("flat").alias("d_flat"))
@@ -322,19 +428,20 @@ def valid_vectors(df: DataFrame, id_column: str, vector_column: str, dim: int) -
     return df.where(F.col(id_column).isNotNull() & (F.size(v) == dim) & ~bad & some).select(F.col(id_column).cast("long").alias("id"), v.cast("array<float>").alias("vec"))
 
 
-def similar_vectors(df: DataFrame, id_column: str, vector_column: str, dim: int, k: int = 10, floor: float = 0.9, plan: CrossPolytope | None = None, crowd: int = DENSE) -> DataFrame:
+def similar_vectors(df: DataFrame, id_column: str, vector_column: str, dim: int, k: int, floor: float, plan: CrossPolytope | None = None, crowd: int = DENSE, held: int = HELD) -> DataFrame:
     """`id`, `neighbour`, `cosine`, `pos`: for each vector the k most similar others with a cosine of `floor` or more (rounded to 6 places), of
     equal ones the smaller id first.
 
     Ids are unique integers; rows with a null id take no part, nor do vectors that are null, have not `dim` numbers, hold a null,
     NaN or infinity, or are zero. Vectors need no unit length. Vectors saved more than once are hashed once: each of the
-    copies has the others among its neighbours. No vectors give no rows. The search is approximate: a pair is found with a
-    probability that grows with its cosine. Buckets with more than `crowd` entries are searched exactly, in blocks.
+    copies has the others among its neighbours. No vectors give no rows. The search is approximate: of pairs with a cosine of just `floor` 99 percent are found, of nearer ones more.
+    Many tables are needed for a low floor; without any floor `nearest_vectors` is the way. Buckets with more than `crowd` entries are searched exactly, in blocks; regions with more than
+    `held` are parted first.
     """
     valid = valid_vectors(df, id_column, vector_column, dim)
-    plan = plan or CrossPolytope.for_size(dim, df.count())
+    plan = plan or CrossPolytope.for_recall(dim, df.count(), floor)
     p = 0.5 if floor <= 0 else math.acos(min(floor, 1.0)) / math.pi
-    far = math.ceil(SKETCH * p + 4 * math.sqrt(SKETCH * p * (1 - p)))
+    far = math.ceil(SKETCH * p + 3.5 * math.sqrt(SKETCH * p * (1 - p)))  # more bits apart are 2 of 10,000 pairs at the floor
 
     keyed = valid.select("id", F.xxhash64("vec").alias("h"), F.xxhash64(F.lit(1), "vec").alias("g"))
     copied = keyed.groupBy("h", "g").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -344,17 +451,22 @@ def similar_vectors(df: DataFrame, id_column: str, vector_column: str, dim: int,
     heads = members.withColumn("rn", F.row_number().over(of_class)).where(F.col("rn") <= k + 1).select("rep", F.col("id").alias("member"))
     vectors = valid.join(members.where("id <> rep").select("id"), "id", "left_anti")
 
-    entries = vectors.mapInArrow(_entries(plan), "region long, id long, s1 long, s2 long, code long")
+    sc = df.sparkSession.sparkContext
+    entries = vectors.mapInArrow(_entries(plan), ", ".join(f"{c} long" for c in _names(plan)))
     n = width(df.sparkSession)
     by_region = entries.repartition(n, "region").sortWithinPartitions("region")
-    crowded = df.sparkSession.sparkContext.accumulator(0)
+    left_out = sc.accumulator(0)
     # partitioned by a alone: that serves both to drop what was found twice and to meet the vectors
-    pairs = by_region.mapInArrow(_collide(far, crowded, crowd), "a long, b long").repartition(n, "a").dropDuplicates(["a", "b"])
-    left = pairs.join(vectors.select(F.col("id").alias("a"), F.col("vec").alias("va")), "a")
-    both = left.join(vectors.select(F.col("id").alias("b"), F.col("vec").alias("vb")), "b").select("a", "b", "va", "vb")
-    near = both.mapInArrow(_exact(dim, floor), "a long, b long, cosine double")
+    pairs = by_region.mapInArrow(_collide(plan, far, left_out, crowd, held), "a long, b long").repartition(n, "a").dropDuplicates(["a", "b"])
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        left = pairs.join(vectors.select(F.col("id").alias("a"), F.col("vec").alias("va")), "a")
+        both = left.join(vectors.select(F.col("id").alias("b"), F.col("vec").alias("vb")), "b").select("a", "b", "va", "vb")
+        near = both.mapInArrow(_exact(dim, floor), "a long, b long, cosine double")
+        way = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), "cosine")
+        return near.select(F.explode(F.array(way("a", "b"), way("b", "a"))).alias("w")).select("w.*")
 
-    ways = near.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y"), "cosine"), F.struct(F.col("b").alias("x"), F.col("a").alias("y"), "cosine"))).alias("w")).select("w.*")
+    ways = compared(pairs)
     own = heads.select(F.col("rep").alias("x"), F.col("member").alias("y"), F.lit(1.0).alias("cosine"))
     order = [F.desc("cosine"), "y"]
 
@@ -365,8 +477,11 @@ def similar_vectors(df: DataFrame, id_column: str, vector_column: str, dim: int,
         return rows.join(heads, rows["y"] == heads["rep"], "left").select("x", F.coalesce("member", "y").alias("y"), "cosine")
 
     ranked = cut(best(of_members(ways).union(own)))
-    if crowded.value:
-        more = of_members(_search_crowds(by_region, vectors, dim, k + 1, floor, crowd))
+    if left_out.value:  # rows of crowded buckets and of wide regions
+        slots = by_region.mapInArrow(_parted(plan, held), ", ".join(f"{c} long" for c in SLOTS)).repartition(n, "slot").sortWithinPartitions("slot", "probe")
+        more = compared(slots.mapInArrow(_collide_slots(far, left_out, crowd), "a long, b long").repartition(n, "a").dropDuplicates(["a", "b"]))
+        crowds = by_region.mapInArrow(_crowds(plan, crowd, held), "bucket long, id long").union(slots.mapInArrow(_crowded_slots(crowd), "bucket long, id long"))
+        more = of_members(more.union(_search_crowds(crowds, vectors, dim, k + 1, floor, crowd)))
         ranked = cut(best(ranked.drop("rn").union(more).distinct()))
     single = ranked.join(heads.select(F.col("rep").alias("x")).distinct(), "x", "left_anti").where(F.col("rn") <= k).select(F.col("x").alias("id"), F.col("y").alias("neighbour"), "cosine", F.col("rn").alias("pos"))
     shared = ranked.join(heads.select(F.col("rep").alias("x")).distinct(), "x", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

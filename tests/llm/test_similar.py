@@ -19,7 +19,7 @@ def brute(ids, x, k, floor):
 
 def found(df, **kw):
     got = {}
-    for r in similar_vectors(df, "id", "v", 16, **kw).collect():
+    for r in similar_vectors(df, "id", "v", 16, **({"k": 10, "floor": 0.9} | kw)).collect():
         got.setdefault(r["id"], []).append((r["pos"], r["neighbour"]))
     return {i: [n for _, n in sorted(p)] for i, p in got.items()}
 
@@ -54,26 +54,77 @@ def test_few_and_no_vectors(spark):
     assert found(spark.createDataFrame([(1, [1.0] * 16), (2, [1.0] * 16), (3, [-1.0] * 16)], schema)) == {1: [2], 2: [1]}
 
 
-@pytest.mark.parametrize("functions, dim", [(2, 64), (3, 64), (4, 64), (5, 64), (2, 100), (3, 7)])
-def test_regions_hold_all_buckets(functions, dim):
-    plan = CrossPolytope(dim, 2, functions, 4)
+@pytest.mark.parametrize("functions, dim", [(2, 64), (3, 64), (4, 64), (5, 64), (3, 768), (3, 100), (3, 7), (3, 2)])
+def test_codes_hold_the_likeliest_buckets(functions, dim):
+    """What the task of a region reads from the codes is what the rotations say, one by one."""
+    plan = CrossPolytope(dim, 2, functions)
     x = np.random.default_rng(3).standard_normal((50, dim))
     unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("f4")
     for t in range(2):
-        slots = plan.buckets(unit, plan.rotations()[t], t)
-        row, region, code = plan.regions(unit, plan.rotations()[t], t)
-        size = (2 * plan.padded) ** plan.low_bits[0]
-        back = {i: set() for i in range(50)}
-        own = {}
-        for r, g, c in zip(row.tolist(), region.tolist(), code.tolist()):
-            for k in range(4):
-                f = (c >> (16 * k)) & 0xFFFF
-                if f & 1:
-                    slot = ((g // 2) * size + (f >> 2)) * 2 + t
-                    back[r].add(slot)
-                    if f & 2:
-                        own[r] = slot
-        assert all(back[i] == set(slots[i].tolist()) and own[i] == slots[i, 0] for i in range(50))
+        region, codes = plan.entries(unit, plan.rotations(t), t)
+        looks = plan.buckets(codes)
+        turned = [unit @ r for r in plan.rotations(t)]
+        axis = lambda y: 2 * int(np.abs(y).argmax()) + int(y[np.abs(y).argmax()] < 0)
+        for i in range(50):
+            own = [axis(y[i]) for y in turned]
+            number = 0
+            for a in own[: functions - plan.low]:
+                number = number * 2 * plan.padded + a
+            assert region[i] == number * 2 + t
+            low = 0
+            for a in own[functions - plan.low :]:
+                low = (low << plan.axis_bits) + a
+            assert looks[i, 0] == low and (dim == 2 or len(set(looks[i].tolist())) == looks.shape[1])
+
+
+@pytest.mark.parametrize("dim, functions", [(64, 2), (64, 3), (64, 4), (64, 5), (768, 3), (768, 4)])
+def test_recall_of_any_setting(dim, functions):
+    """Pairs of just the cosine that is asked for, other ones than the tables were measured on."""
+    n = 400 if dim < 768 else 100
+    plan = CrossPolytope.for_recall(dim, 0, 0.9, functions=functions)
+    rng = np.random.default_rng(99)
+    a, b = rng.standard_normal((2, n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    both = np.concatenate([a, 0.9 * a + np.sqrt(0.19) * b]).astype("f4")
+    found = np.zeros(n, bool)
+    for t in range(plan.tables):
+        region, codes = plan.entries(both, plan.rotations(t), t)
+        looks = plan.buckets(codes)
+        x, y = looks[:n], looks[n:]
+        found |= (region[:n] == region[n:]) & ((x == y[:, :1]).any(axis=1) | (y == x[:, :1]).any(axis=1))
+    assert found.mean() > 0.96
+
+
+def test_size_changes_no_setting_in_reach():
+    assert len({CrossPolytope.for_recall(64, n, 0.9) for n in (0, 10, 20_000, 1_048_576, 1_048_577, 100_000_000)}) == 1
+    assert CrossPolytope.for_recall(64, 10**9, 0.9).functions == 4
+
+
+def test_wide_regions_are_parted(spark):
+    """Nine of ten vectors in one region: it is parted into buckets, and what is found is the same."""
+    rng = np.random.default_rng(12)
+    x = np.concatenate([np.ones((540, 16)) + 0.15 * rng.standard_normal((540, 16)), rng.standard_normal((60, 16))])
+    df = spark.createDataFrame([(int(i), v.astype("f4").tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+    want = found(df, k=10, floor=0.9)
+    assert found(df, k=10, floor=0.9, held=50) == want and sum(map(len, want.values())) > 4000
+    assert found(df, k=10, floor=0.9, held=50, crowd=40).keys() >= want.keys()
+
+
+def test_pieces_hold_whole_keys_and_no_more_than_they_may():
+    import pyarrow as pa
+
+    from mediasift.llm.similar import _regions
+
+    rng = np.random.default_rng(5)
+    key = np.sort(np.concatenate([rng.integers(0, 40, 300), np.full(700, 17), np.full(120, 41)]))
+    batches = lambda: (pa.RecordBatch.from_arrays([pa.array(key[i : i + 33]), pa.array(np.arange(i, min(i + 33, len(key))))], ["k", "v"]) for i in range(0, len(key), 33))
+    narrow, wide = ([p for p in _regions(batches(), ["k", "v"], "k", 100, w)] for w in (False, True))
+    assert {int(k) for p in narrow for k in p["k"]} == set(range(40)) - {17} & set(key.tolist()) and {int(k) for p in wide for k in p["k"]} == {17, 41}
+    assert sorted(int(v) for p in narrow + wide for v in p["v"]) == list(range(len(key)))
+    owners = [set(p["k"].tolist()) for p in narrow]
+    assert sum(map(len, owners)) == len(set().union(*owners)) and max(len(p["k"]) for p in narrow) <= 133
 
 
 def test_crowded_buckets_are_searched_exactly(spark):
