@@ -1,16 +1,16 @@
 """Exactly one delivery of each message of an at-least-once stream.
 
 State: identifiers seen in the last `delay` of event time, in Spark's state store, one entry per hash bucket holding a
-sorted block of digests. The store is committed with the micro-batch in the query's checkpoint, and the sink writes one
-folder per micro-batch, so a batch that is run again replaces what it wrote before: state and output agree after any
-failure. Identifiers that expire behind the watermark move to an archive table; a Bloom filter of them stays in the
-state, and only identifiers that pass it are looked up in the archive.
+sorted block of digests; so it is as large as what the watermark spans, however long the stream runs. The store is committed with the micro-batch in the query's checkpoint, and the sink
+writes folders by micro-batch, so a batch that is run again replaces what it wrote before: state and output agree after any
+failure. Identifiers that expire behind the watermark move to an archive: a table by part, one generation per micro-batch, of which every FAN_IN become one, with a Bloom filter per part and
+generation beside it. Identifiers new to the state are tested by these filters, and only those that pass are looked up, in their parts of the archive.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from mediasift.session import width
+from mediasift.session import cut, hadoop_path, remove, width
 
 ENTRY = np.dtype([("h", "<i8"), ("g", "<i8"), ("id", "<i8"), ("at", "<i8")])
 OUT = "kind string, id long, h long, g long"
 BLOOM_BITS, BLOOM_HASHES = 12, 6
+#: So many generations of the archive become one.
+FAN_IN = 4
 
 
 def digest(keys: Sequence[Column]) -> tuple[Column, Column]:
@@ -90,11 +92,8 @@ def _rows(kind: str, ids: np.ndarray, h: np.ndarray | int = 0, g: np.ndarray | i
 
 
 def _advance(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One bucket's step: the drops, lookups and expired identifiers of this micro-batch."""
-    live, filters = np.empty(0, ENTRY), []
-    if state.exists:
-        blob, filters = pickle.loads(state.get[0])
-        live = np.frombuffer(blob, ENTRY)
+    """One bucket's step: the drops, what is new to it, and the expired identifiers of this micro-batch."""
+    live = np.frombuffer(state.get[0], ENTRY) if state.exists else np.empty(0, ENTRY)
     fresh = np.empty(0, ENTRY)
     for pdf in chunks:
         copy = pdf["copy"].to_numpy(dtype=bool)
@@ -109,21 +108,19 @@ def _advance(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> I
         yield _rows("drop", extra)
     # also where a smaller id takes a live one's place: that one's lookup didn't compare it; both are in order of digests
     ask[~ask] = live["id"][~ask] < before["id"]
-    asked = live[ask]
-    if filters and len(asked):
-        asked = asked[np.logical_or.reduce([in_bloom(f, asked["h"], asked["g"]) for f in filters])]
-        if len(asked):
-            yield _rows("lookup", asked["id"], asked["h"], asked["g"])
-    old = live["at"] < state.getCurrentWatermarkMs()
+    mark = state.getCurrentWatermarkMs()
+    if ask.any() and mark > 0:  # before the first watermark nothing can have expired
+        asked = live[ask]
+        yield _rows("ask", asked["id"], asked["h"], asked["g"])
+    old = live["at"] < mark
     if old.any():
         gone, live = live[old], live[~old]
-        filters = [*filters, bloom(gone["h"], gone["g"])]
         yield _rows("archive", gone["id"], gone["h"], gone["g"])
-    state.update((pickle.dumps((live.tobytes(), filters)),))
+    state.update((live.tobytes(),))
 
 
 def judge(rows: DataFrame, keys: Sequence[Column], order: str, event_time: str, delay: str, buckets: int) -> DataFrame:
-    """The stateful part: a stream of deliveries to a stream of `drop`, `lookup` and `archive` rows."""
+    """The stateful part: a stream of deliveries to a stream of `drop`, `ask` and `archive` rows."""
     h, g = digest(keys)
     at = F.coalesce(F.unix_millis(F.col(event_time).cast("timestamp")), F.lit(0))
     entries = rows.select(h.alias("h"), g.alias("g"), F.col(order).cast("long").alias("id"), at.alias("at")).where("id IS NOT NULL")
@@ -137,19 +134,90 @@ def judge(rows: DataFrame, keys: Sequence[Column], order: str, event_time: str,
     )
 
 
-def resolve(judged: DataFrame, batch: int, out: str) -> None:
-    """Sink of one micro-batch: its rows in one folder, then the answers to its lookups from all earlier folders."""
+class Archive:
+    """Expired identifiers in a folder, in `parts` parts by digest; generations of micro-batches, each a span of them."""
+
+    ROWS, FILTERS = "h long, g long, id long, part int", "part int, bits binary"
+
+    def __init__(self, spark: SparkSession, folder: str, parts: int) -> None:
+        self.spark, self.folder, self.parts = spark, folder, parts
+
+    def part(self) -> Column:
+        return F.pmod(F.col("h"), F.lit(self.parts)).cast("int")
+
+    def spans(self, before: int) -> list[tuple[int, int]]:
+        """Complete generations of earlier micro-batches, oldest first, without those that a later one holds."""
+        fs, where = hadoop_path(self.spark, f"{self.folder}/filters")
+        names = [x.getPath().getName() for x in fs.listStatus(where)] if fs.exists(where) else []
+        done = [n for n in names if fs.exists(hadoop_path(self.spark, f"{self.folder}/filters/{n}/_SUCCESS")[1])]
+        all_ = sorted(tuple(map(int, n.split("_"))) for n in done)
+        return [(lo, hi) for lo, hi in all_ if hi < before and not any((a, b) != (lo, hi) and a <= lo and hi <= b < before for a, b in all_)]
+
+    def _read(self, kind: str, schema: str, spans: Sequence[tuple[int, int]]) -> DataFrame:
+        base = [f"{self.folder}/{kind}/{lo}_{hi}" for lo, hi in spans]
+        one = lambda path: self.spark.read.schema(schema).parquet(path)
+        return reduce(DataFrame.union, map(one, base))
+
+    def add(self, rows: DataFrame, lo: int, hi: int) -> None:
+        """A generation: its rows (`h`, `g`, `id`) by part, then its filters; it counts once these are complete."""
+        placed = rows.withColumn("part", self.part()).repartition(self.parts, "part").sortWithinPartitions("part", "h")
+        placed.write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/archive/{lo}_{hi}")
+
+        def packed(rows: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"part": rows["part"].iloc[:1], "bits": [bloom(rows["h"].to_numpy(), rows["g"].to_numpy()).tobytes()]})
+
+        self._read("archive", self.ROWS, [(lo, hi)]).groupBy("part").applyInPandas(packed, self.FILTERS).write.mode("overwrite").parquet(f"{self.folder}/filters/{lo}_{hi}")
+
+    def compact(self, before: int) -> None:
+        """FAN_IN generations of like age become one, again and again, as long as there are so many: of the newest first. Only generations of finished micro-batches are touched, so a batch
+        that is run again finds what it found before; a message's smallest id is all that stays."""
+        spans = self.spans(before)
+        while len(spans) >= FAN_IN and spans[-FAN_IN][1] - spans[-FAN_IN][0] <= sum(hi - lo + 1 for lo, hi in spans[1 - FAN_IN :]):
+            old = spans[-FAN_IN:]
+            lo, hi = old[0][0], old[-1][1]
+            self.add(self._read("archive", self.ROWS, old).groupBy("h", "g").agg(F.min("id").alias("id")), lo, hi)
+            for a, b in old:
+                for kind in ("filters", "archive"):
+                    remove(self.spark, f"{self.folder}/{kind}/{a}_{b}")
+            spans = self.spans(before)
+
+    def find(self, asked: DataFrame, before: int) -> DataFrame | None:
+        """`id` and `first`, the smallest archived id, of those rows (`h`, `g`, `id`) that earlier micro-batches archived; None if they archived nothing."""
+        spans = self.spans(before)
+        if not spans:
+            return None
+
+        def passing(key: tuple, rows: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
+            hit = np.zeros(len(rows), bool)
+            for bits in filters["bits"]:
+                hit |= in_bloom(np.frombuffer(bits, np.uint8), rows["h"].to_numpy(), rows["g"].to_numpy())
+            return rows[hit]
+
+        parted = asked.select("h", "g", "id").withColumn("part", self.part())
+        tested = cut(parted.groupBy("part").cogroup(self._read("filters", self.FILTERS, spans).groupBy("part")).applyInPandas(passing, "h long, g long, id long, part int"))
+        touched = [r[0] for r in tested.select("part").distinct().collect()]  # at most as many as there are parts
+        there = self._read("archive", self.ROWS, spans).where(F.col("part").isin(touched))
+        first = there.groupBy("part", "h", "g").agg(F.min("id").alias("first"))
+        return tested.join(first, ["part", "h", "g"]).select("id", "first")
+
+
+def resolve(judged: DataFrame, batch: int, out: str, parts: int) -> None:
+    """Sink of one micro-batch: its rows in one folder, then the answers of the archive to what is new, then what expired into the archive."""
     spark = judged.sparkSession
-    judged.write.mode("overwrite").partitionBy("kind").parquet(f"{out}/judged/batch={batch}")
-    mine = spark.read.schema(OUT).parquet(f"{out}/judged/batch={batch}")
-    lookups = mine.where("kind = 'lookup'")
-    if lookups.isEmpty():
-        return
-    log = spark.read.schema(OUT + ", batch int").parquet(f"{out}/judged").where(F.col("batch") < batch)
-    archive = log.where("kind IN ('archive', 'lookup')").groupBy("h", "g").agg(F.min("id").alias("first"))
-    late = lookups.select("h", "g", "id").join(archive, ["h", "g"])
-    # whichever is later goes; if that is the archived one, the lookup's own row carries the new first id from now on
-    late.where("id <> first").select(F.greatest("id", "first").alias("id")).write.mode("overwrite").parquet(f"{out}/late/batch={batch}")
+    where = f"{out}/judged/batch={batch}"
+    judged.write.mode("overwrite").partitionBy("kind").parquet(where)
+    fs, _ = hadoop_path(spark, where)
+    there = {k for k in ("ask", "archive") if fs.exists(hadoop_path(spark, f"{where}/kind={k}")[1])}
+    mine = lambda k: spark.read.schema("id long, h long, g long").parquet(f"{where}/kind={k}")
+    archive = Archive(spark, out, parts)
+    if "ask" in there:
+        archive.compact(batch)
+        found = archive.find(mine("ask"), batch)
+        if found is not None:
+            # whichever is later goes; if that is the archived one, the live one stands for the message from now on
+            found.where("id <> first").select(F.greatest("id", "first").alias("id")).write.mode("overwrite").parquet(f"{out}/late/batch={batch}")
+    if "archive" in there:
+        archive.add(mine("archive"), batch, batch)
 
 
 def drop_redelivered(
@@ -175,7 +243,7 @@ def drop_redelivered(
     n = buckets or 4 * width(stream.sparkSession)
     return (
         judge(stream, keys, order, event_time, delay, n)
-        .writeStream.foreachBatch(lambda df, batch: resolve(df, batch, folder))
+        .writeStream.foreachBatch(lambda df, batch: resolve(df, batch, folder, width(stream.sparkSession)))
         .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True)
         .start()
@@ -188,21 +256,16 @@ def dropped(spark: SparkSession, folder: str) -> DataFrame:
     return ids[0].union(ids[1]).distinct()
 
 
-def _hadoop(spark: SparkSession, path: str):
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A folder of micro-batches; no rows if none wrote to it."""
-    fs, where = _hadoop(spark, path)
+    fs, where = hadoop_path(spark, path)
     return spark.read.schema(schema).parquet(path) if fs.exists(where) else spark.createDataFrame([], schema)
 
 
 def stream_of(spark: SparkSession, path: str, files_per_batch: int = 4) -> DataFrame:
     """A stream over the part files of a table, some at a time; a table of one file is found in its folder by name."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
-    fs, where = _hadoop(spark, path)
+    fs, where = hadoop_path(spark, path)
     if fs.getFileStatus(where).isFile():
         folder, _, name = path.rpartition("/")
         return reader.option("pathGlobFilter", name).parquet(folder)

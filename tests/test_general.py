@@ -106,10 +106,40 @@ def test_smallest_id_after_an_archived_and_a_live_copy(spark, tmp_path):
     drop_redelivered(stream, [F.col("k")], "id", "at", f"file://{tmp_path}/out", "1 day", 1).awaitTermination()
     judged = spark.read.parquet(f"{tmp_path}/out/judged")
     batch_of = {(r["kind"], r["id"]): r["batch"] for r in judged.collect()}
-    assert batch_of["archive", 5] < batch_of["lookup", 7] and ("archive", 7) not in batch_of
+    assert batch_of["archive", 5] < batch_of["ask", 7] and ("archive", 7) not in batch_of
     assert {r["id"] for r in dropped(spark, f"file://{tmp_path}/out").collect()} == {5, 7, 101}
 
 
+def test_a_long_stream_keeps_state_and_archive_in_bounds(spark, tmp_path):
+    """Two days go by in each of 14 micro-batches: the state holds what the watermark spans, and generations are merged."""
+    import datetime
+
+    from mediasift.streaming.dedup import FAN_IN, Archive
+
+    day, rng = datetime.datetime(2026, 1, 1), random.Random(3)
+    rows, first, want, n = [], {}, set(), 0
+    for b in range(14):
+        batch = []
+        for _ in range(40):
+            key = f"k{rng.randint(0, 250)}"
+            batch.append((key, n, day + datetime.timedelta(days=2 * b, minutes=n), "x"))
+            if key in first:
+                want.add(n)
+            first.setdefault(key, n)
+            n += 1
+        rows.append(batch)
+    _deliveries(spark, str(tmp_path), rows)
+    stream = spark.readStream.schema("k string, id long, at timestamp, note string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = drop_redelivered(stream, [F.col("k")], "id", "at", f"file://{tmp_path}/out", "1 day", 2)
+    query.awaitTermination()
+    assert {r["id"] for r in dropped(spark, f"file://{tmp_path}/out").collect()} == want
+    spans = Archive(spark, f"file://{tmp_path}/out", 4).spans(10**6)
+    assert len(spans) <= 2 * FAN_IN and [b + 1 for _, b in spans[:-1]] == [a for a, _ in spans[1:]]
+    judged = spark.read.parquet(f"{tmp_path}/out/judged")
+    moved = {r["batch"]: r["n"] for r in judged.where("kind = 'archive'").groupBy("batch").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert sum(moved.values()) > 14 * 20 and max(moved.values()) <= 80  # what came is gone two days later
+
+
 def test_an_empty_stream_drops_nothing(spark, tmp_path):
     spark.createDataFrame([], "k string, id long, at timestamp").write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("k string, id long, at timestamp").parquet(f"{tmp_path}/in")
