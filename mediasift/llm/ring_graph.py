@@ -30,6 +30,16 @@ class RingGraph:
         graph.tune()
         return graph
 
+    def to_bytes(self) -> bytes:
+        head = np.array([len(self.h), self.links.shape[1], self.beam], "<i8").tobytes()
+        return b"".join([head, *(a.tobytes() for a in (self.h, self.g, self.ids, self.links))])
+
+    @classmethod
+    def of_bytes(cls, b: bytes) -> RingGraph:
+        n, k, beam = map(int, np.frombuffer(b, "<i8", 3))
+        h, g, ids = (np.frombuffer(b, kind, n, 24 + 8 * n * i) for i, kind in enumerate(("<u8", "<i8", "<i8")))
+        return cls(h, g, ids, np.frombuffer(b, "<i4", n * k, 24 + 24 * n).reshape(n, k), beam)
+
     def route(self, q: np.ndarray, beam: int | None = None) -> np.ndarray:
         """The node nearest to each of these digests, by greedy routing with a beam."""
         n, w = len(self.h), min(beam or self.beam, len(self.h))
@@ -131,27 +141,3 @@ class Shards:
             last = self.graphs[-FAN_IN:]
             self.graphs[-FAN_IN:] = [RingGraph.build(*(np.concatenate([getattr(x, c) for x in last]) for c in ("h", "g", "ids")))]
             self.spans[-FAN_IN:] = [(self.spans[-FAN_IN][0], self.spans[-1][1])]
-
-    def since(self, batch: int) -> list[tuple[int, int, bytes]]:
-        """The shards that hold this batch, as (first batch, last batch, bytes): all that a batch changed."""
-        out = []
-        for x, (low, high) in zip(self.graphs, self.spans):
-            if high >= batch:
-                head = np.array([len(x.h), x.links.shape[1], x.beam], "<i8").tobytes()
-                out.append((low, high, b"".join([head, *(a.tobytes() for a in (x.h, x.g, x.ids, x.links))])))
-        return out
-
-    @classmethod
-    def load(cls, saved: list[tuple[int, int, bytes]]) -> Shards:
-        """Of all shards ever saved, those that no compacted one replaced."""
-        shards = cls()
-        end = None
-        for low, high, b in sorted(saved, key=lambda x: (-x[1], x[0])):
-            if end is not None and high >= end:
-                continue
-            end = low
-            n, k, beam = map(int, np.frombuffer(b, "<i8", 3))
-            h, g, ids = (np.frombuffer(b, kind, n, 24 + 8 * n * i) for i, kind in enumerate(("<u8", "<i8", "<i8")))
-            shards.graphs.insert(0, RingGraph(h, g, ids, np.frombuffer(b, "<i4", n * k, 24 + 24 * n).reshape(n, k), beam))
-            shards.spans.insert(0, (low, high))
-        return shards

@@ -28,7 +28,7 @@ def test_addresses_of_one_file_have_one_key(spark):
     assert len(set(same)) == 1 and len(set(query)) == 1 and None not in same + query + other
     assert len({*same, *query, *other}) == 2 + len(OTHER)
     assert keys(spark, ["", "  ", "N/A", "about:blank", "ftp://a.example/x", "https://", None, "x"], url_key) == [None] * 8
-    assert keys(spark, ["https://a.example/%zz", "https://a.example/100%"], url_key) == ["a.example/%25ZZ", "a.example/100%25"] or True
+    assert keys(spark, ["https://a.example/%zz", "https://a.example/100%"], url_key) == ["a.example/%25zz", "a.example/100%25"]
 
 
 def test_evidence_ids_have_one_key(spark):
@@ -52,7 +52,7 @@ def test_routing_equals_exhaustive_search(n):
 
 def test_shards_accept_once_compact_and_load():
     rng = np.random.default_rng(3)
-    shards, truth, saved = Shards(), {}, []
+    shards, truth = Shards(), {}
     for b in range(23):
         h = np.unique(rng.integers(0, 3000, 200)).astype(np.uint64) * np.uint64(2**50)
         g = (h >> np.uint64(50)).astype(np.int64)
@@ -61,9 +61,9 @@ def test_shards_accept_once_compact_and_load():
         for k, i, f in zip(g.tolist(), ids.tolist(), got.tolist()):
             assert f == truth.get(k, -1)
             truth.setdefault(k, i)
-        saved += shards.since(b)
-        again = Shards.load(saved)
-        assert again.spans == shards.spans and (again.find(h, g) == shards.find(h, g)).all()
+        for graph in shards.graphs:
+            again = RingGraph.of_bytes(graph.to_bytes())
+            assert again.beam == graph.beam and (again.find(h, g) == graph.find(h, g)).all()
     assert len(shards.graphs) < 10 and sum(len(x.h) for x in shards.graphs) == len(truth)
 
 
@@ -91,13 +91,19 @@ def test_replay_equals_brute_force(spark):
 def test_batches_against_a_saved_history(spark, tmp_path):
     rng = random.Random(1)
     history, truth = MediaHistory(spark, f"file://{tmp_path}/history", 3), {}
-    for b in range(6):
-        keys_ = [rng.randint(0, 80) for _ in range(60)]
+    for b in range(9):
+        keys_ = [rng.randint(0, 200) for _ in range(60)]
         rows = [(k * 10**15, k, 1000 * b + i) for i, k in enumerate(keys_)]
-        for again in range(2 if b == 3 else 1):  # a batch that is run twice
-            got = {r["id"]: r["first"] for r in history.add(spark.createDataFrame(rows, "h long, g long, id long"), b).collect()}
+        for _ in range(2 if b in (3, 8) else 1):  # a batch that is run twice
+            got = {r["g"]: r["first"] for r in history.add(spark.createDataFrame(rows, "h long, g long, id long"), b).collect()}
             now = dict(truth)
             for _, k, i in rows:
                 now[k] = min(now.get(k, i), i)
-            assert got == {i: now[k] for _, k, i in rows}
+            assert got == {k: now[k] for k in keys_ if k in truth or keys_.count(k) > 1}
         truth = now
+    live = history.manifest()
+    assert live["bytes_read"] < 120 * len(truth) and live["parts"] == 3
+    # what was replaced is gone, but for what a repetition of the last batch needs
+    named = {x[2] for m in (live, history.manifest(8)) for v in m["shards"].values() for x in v}
+    assert {f"shards/{f.name}" for f in (tmp_path / "history/shards").iterdir() if not f.name.startswith(".")} == named
+    assert {r["g"] for r in history.hits().collect()} <= set(truth)
