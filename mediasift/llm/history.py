@@ -46,7 +46,7 @@ def replay(records: DataFrame, keys: Mapping[str, Column], record: str, order: s
     searched.write.partitionBy("batch").parquet(arrived)
     history = MediaHistory(spark, scratch(spark, "history"), parts or width(spark))
     for number in sorted(r[0] for r in keyed.select("batch").distinct().collect()):  # as many as there are batches
-        history.add(spark.read.schema("h long, g long, id long, n long").parquet(f"{arrived}/batch={number}"), number)
+        history.run(spark.read.schema("h long, g long, id long, n long").parquet(f"{arrived}/batch={number}"), number)
     found = history.hits().groupBy("h", "g").agg(F.min("first").alias("first"))
     salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     members = cut(keyed.withColumn("salt", F.pmod("id", F.lit(SALTS)).cast("int")).join(salted, ["h", "g", "salt"]).select("h", "g", "salt", "record", "id", "first"))
@@ -118,6 +118,11 @@ class MediaHistory:
     def add(self, batch: DataFrame, number: int) -> DataFrame:
         """A batch (`h`, `g`, `id`, distinct digests, and `n`, how many records have each; 1 without it) with a number larger than all before: `h`, `g` and `first` of its digests that were accepted before or that it
         holds more than once; `first` is the id accepted first. Adding the last batch again replaces it."""
+        self.run(batch, number)
+        return self.hits(number)
+
+    def run(self, batch: DataFrame, number: int) -> None:
+        """`add` without reading its result: one job, and one that reads the names of the new shards."""
         live = self.manifest(number)
         parts = live.get("parts", self.parts)
         shards = {int(p): [tuple(x) for x in v] for p, v in live.get("shards", {}).items()}
@@ -127,7 +132,7 @@ class MediaHistory:
         found = placed.mapInPandas(_step(self.folder, shards, number), self.ROW).withColumn("kind", F.when(F.col("name").isNull(), "hit").otherwise("shard"))
         found.write.mode("overwrite").partitionBy("kind").parquet(out)
         # a few rows a part
-        named = self.spark.read.schema(self.ROW + ", kind string").parquet(out).where("kind = 'shard'").select("part", "low", "high", "name", "read").collect()
+        named = self.spark.read.schema("part int, low int, high int, name string, read long").parquet(f"{out}/kind=shard").collect()
         read: dict[int, int] = {}
         for r in named:
             read[r["part"]] = r["read"]
@@ -135,7 +140,6 @@ class MediaHistory:
         for r in sorted(named):
             now.setdefault(r["part"], []).append((r["low"], r["high"], r["name"]))
         self._commit(number, {"parts": parts, "shards": now, "bytes_read": sum(read.values())})
-        return self.hits(number)
 
     def hits(self, number: int | None = None) -> DataFrame:
         """What a batch repeated, or what all did."""
