@@ -204,3 +204,20 @@ def technique_fault(techniques: Column, known: Sequence[str]) -> Column:
     unknown = unknown_techniques(techniques, known)
     blank = (F.size(techniques) > 0) & ~F.exists(techniques, lambda t: F.coalesce(F.trim(t) != "", F.lit(False)))
     return F.when(F.size(unknown) > 0, F.concat(F.lit("Unknown techniques: "), F.array_join(unknown, ", "))).when(blank, "At least one technique must be enabled")
+
+
+def probed(report: Column, log: Column, size: Column) -> Column:
+    """What is known of a file, from a prober's JSON report, or else the lines that a decoder logs, or else its size alone: `source` (report, log or size; null without any), `duration_s`, `width`,
+    `height` and `size_bytes`."""
+    r = F.from_json(report, "duration_s double, width int, height int", {"mode": "PERMISSIVE"})
+    part = lambda pattern, k: F.regexp_extract(log, pattern, k)
+    clock, frame = r"Duration: (\d+):(\d\d):(\d\d(?:\.\d+)?)", r"Video: .*?[ ,](\d{2,5})x(\d{2,5})"
+    length = part(clock, 1).try_cast("double") * 3600 + part(clock, 2).try_cast("double") * 60 + part(clock, 3).try_cast("double")
+    known = F.coalesce(r["duration_s"].isNotNull() | r["width"].isNotNull(), F.lit(False))
+    logged = ~known & F.coalesce(length.isNotNull() | (part(frame, 1) != ""), F.lit(False))
+    pick = lambda a, b: F.when(known, a).when(logged, b)
+    source = F.when(known, "report").when(logged, "log").when(size.isNotNull(), "size")
+    return F.struct(
+        source.alias("source"), pick(r["duration_s"], length).alias("duration_s"), pick(r["width"], part(frame, 1).try_cast("int")).alias("width"), pick(r["height"], part(frame, 2).try_cast("int")).alias("height"),
+        size.cast("long").alias("size_bytes"),
+    )

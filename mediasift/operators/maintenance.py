@@ -35,3 +35,9 @@ def related(df: DataFrame, others: DataFrame, keys: Sequence[str]) -> DataFrame:
     """df with `related`: whether a row of `others` has the same keys. Null keys are related to none."""
     there = others.select(*keys).dropna().distinct().withColumn("_there", F.lit(True))
     return df.join(there, list(keys), "left").withColumn("related", F.coalesce("_there", F.lit(False))).drop("_there")
+
+
+def only_new(df: DataFrame, tables: Sequence[DataFrame], keys: Sequence[str]) -> list[DataFrame]:
+    """For each table the rows of df, one per key, that it hasn't: what to append so that every key is in every table once. Rows with a null key are left out."""
+    one = df.dropna(subset=list(keys)).dropDuplicates(list(keys))
+    return [one.join(t.select(*keys).distinct(), list(keys), "left_anti") for t in tables]

@@ -19,3 +19,22 @@ def test_marks_and_relations(spark):
     assert got == {1: ("now", "old"), 2: ("before", "old"), 3: (None, "old"), 4: (None, None)}
     left = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, v int")
     assert sorted((r["v"], r["related"]) for r in M.related(left, spark.createDataFrame([("a",), ("a",), (None,)], "k string"), ["k"]).collect()) == [(1, True), (2, False), (3, False)]
+
+
+def test_only_new_rows_are_appended(spark):
+    from mediasift.operators.maintenance import only_new
+
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2), (None, 3)], "k string, n int")
+    x, y = only_new(df, [spark.createDataFrame([("a", "clash")], "k string, n string"), df.limit(0)], ["k"])
+    assert {r["k"] for r in x.collect()} == {"b"} and sorted(r["k"] for r in y.collect()) == ["a", "b"]
+
+
+def test_what_is_known_of_a_file(spark):
+    from pyspark.sql import functions as F
+
+    from mediasift.functions.gates import probed
+
+    log = "Input #0\n  Duration: 01:02:03.50, start: 0\n  Stream #0:0: Video: h264, yuv420p, 1280x720, 25 fps"
+    rows = [('{"duration_s": 5.5, "width": 4, "height": 3}', log, 9), ("{", log, 9), (None, "Duration: N/A", 9), (None, None, None), (None, "Duration: 00:00:01.00", None)]
+    got = [tuple(r[0]) for r in spark.createDataFrame(rows, "r string, l string, n long").select(probed(F.col("r"), F.col("l"), F.col("n"))).collect()]
+    assert got == [("report", 5.5, 4, 3, 9), ("log", 3723.5, 1280, 720, 9), ("size", None, None, None, 9), (None, None, None, None, None), ("log", 1.0, None, None, None)]
