@@ -12,7 +12,7 @@ from mediasift.llm.history import replay
 from mediasift.llm.media_keys import evidence_key, trimmed, url_key
 from mediasift.llm.mixture import mix
 from mediasift.llm.nearest import nearest_vectors
-from mediasift.llm.percentiles import epoch_seconds, percentiles, value_counts
+from mediasift.llm.percentiles import epoch_seconds, merge, percentiles, value_counts
 from mediasift.llm.same_look import canonical, look_alikes, look_classes
 from mediasift.llm.similar import similar_vectors
 from mediasift.llm.top_n import top_n_per_group
@@ -51,6 +51,19 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles(state, ["worker_id"], [50, 90, 99], SECONDS).where(F.round("value", 6) > 20).select("worker_id", "pct")
 
 
+#: The resolution of states that are kept: a hundredth of a second.
+KEPT = 0.01
+
+
+def p2_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from states that are kept by batch, at a coarser resolution: each batch has one, and those of all batches are merged."""
+    r = table(spark, sf_dir, "result_records").withColumn("took", epoch_seconds(F.col("processing_completed_at")) - epoch_seconds(F.col("processing_started_at")))
+    by_batch = value_counts(r.select("batch_id", "worker_id", F.when(F.col("took") >= 0, F.col("took")).alias("took")), ["batch_id", "worker_id"], F.col("took"), KEPT)
+    halves = [by_batch.where(F.pmod("batch_id", F.lit(2)) == i).drop("batch_id") for i in (0, 1)]
+    state = merge(halves, ["worker_id"])
+    return percentiles(state, ["worker_id"], [50, 90, 99], KEPT).select("worker_id", "pct", F.round("value", 6).alias("seconds"), "n_values")
+
+
 _P2 = """
 WITH d AS (
   SELECT worker_id, round(CASE WHEN processing_completed_at >= 1e11 THEN processing_completed_at / 1000 ELSE processing_completed_at END
@@ -185,7 +198,7 @@ SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form =
 P9_CLASSES_SQL = f"{_FORMS}, k AS (SELECT form, min(doc_id) AS look, count(*) AS n_rows, count(DISTINCT text) AS n_texts FROM f GROUP BY ALL) SELECT doc_id, look, n_rows, n_texts FROM f JOIN k USING (form)"
 P9_CANONICAL_SQL = f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN nfc_normalize({_PLAIN}) END AS text FROM documents"
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_percentiles": p2_percentiles, "p3_found": p3_found, "p4_found": p4_found, "p7_ids": p7_ids,
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_percentiles": p2_percentiles, "p2_merged": p2_merged, "p3_found": p3_found, "p4_found": p4_found, "p7_ids": p7_ids,
     "p8_found": p8_found, "p8_shares": p8_shares, "p8_mixture": p8_mixture, "p9_found": p9_found, "p9_classes": p9_classes, "p9_canonical": p9_canonical}
 ORACLES = {
     "p1_found": P1_FOUND_SQL + "SELECT DISTINCT least(id, other) AS vec_id_a, greatest(id, other) AS vec_id_b FROM k WHERE pos <= 10",
@@ -196,6 +209,7 @@ SELECT id AS vec_id, other AS neighbour_id, cosine, cast(pos AS INTEGER) AS pos
     "p9_classes": P9_CLASSES_SQL,
     "p9_canonical": P9_CANONICAL_SQL,
     "p2_percentiles": _P2,
+    "p2_merged": _P2.replace("round(CASE", "round((CASE").replace("ELSE processing_started_at END, 6)", "ELSE processing_started_at END) / 0.01)").replace("WHERE worker_id IS NOT NULL", "WHERE worker_id IS NOT NULL AND batch_id IS NOT NULL").replace("SELECT worker_id, pct, v AS seconds", "SELECT worker_id, pct, round(v * 0.01, 6) AS seconds"),
     "p2_found": f"SELECT worker_id, cast(pct AS INTEGER) AS pct FROM ({_P2}) WHERE seconds > 20",
     "p4_found": P4_FOUND_SQL,
 }
