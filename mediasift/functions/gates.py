@@ -76,7 +76,8 @@ def unsafe_ipv4(address: Column) -> Column:
     return within(UNSAFE_NETWORKS) & ~within(SAFE_WITHIN)
 
 
-def _unsafe(text: str | None) -> bool:
+def unsafe_text(text: str | None) -> bool:
+    """Whether one address, IPv4 or IPv6, isn't public; what is no address isn't either."""
     try:
         a = ipaddress.ip_address(text)
     except ValueError:
@@ -93,7 +94,7 @@ def unsafe_address(address: Column) -> Column:
     @F.pandas_udf("boolean")
     def other(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
-            yield texts.map(lambda t: None if t is None else _unsafe(t))
+            yield texts.map(lambda t: None if t is None else unsafe_text(t))
 
     v4 = unsafe_ipv4(address)
     return F.coalesce(v4, other(F.when(v4.isNull(), address)), F.lit(True))
@@ -105,7 +106,7 @@ def safe_destination(addresses: Column) -> Column:
     @F.pandas_udf("boolean")
     def mixed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for lists in parts:
-            yield lists.map(lambda a: None if a is None else len(a) > 0 and not any(x is None or _unsafe(x) for x in a))
+            yield lists.map(lambda a: None if a is None else len(a) > 0 and not any(x is None or unsafe_text(x) for x in a))
 
     dotted = ~F.exists(addresses, lambda a: ipv4_number(a).isNull())
     public = (F.size(addresses) > 0) & ~F.exists(addresses, lambda a: F.coalesce(unsafe_ipv4(a), F.lit(True)))

@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mediasift.session import cut
+
 
 def eager_join_aggregate(
     left: DataFrame,
@@ -75,12 +77,13 @@ def heavy_keys(df: DataFrame, fields: Mapping[str, Column], share: float) -> Dat
     gives an empty result.
     """
     each = F.explode(F.array(*(F.struct(F.lit(n).alias("key_field"), v.alias("key_value")) for n, v in fields.items())))
-    counts = df.select(each.alias("_e")).select("_e.*").groupBy("key_field", "key_value").agg(F.count(F.lit(1)).alias("n_left"), F.max(F.col("key_value").isNotNull()).alias("_there"))
+    # cut, as it is read twice: one row per value
+    counts = cut(df.select(each.alias("_e")).select("_e.*").groupBy("key_field", "key_value").agg(F.count(F.lit(1)).alias("n_left")))
     # as many rows as fields are named: a bounded side
     totals = counts.groupBy("key_field").agg(F.sum("n_left").alias("n_all"))
     limit = F.lit(str(share)).cast("decimal(9,6)")
     exact = lambda c: F.col(c).cast("decimal(20,0)")
-    return counts.where("_there").join(F.broadcast(totals), "key_field").where(exact("n_left") >= limit * exact("n_all")).select("key_field", "key_value", "n_left", "n_all")
+    return counts.where("key_value IS NOT NULL").join(F.broadcast(totals), "key_field").where(exact("n_left") >= limit * exact("n_all")).select("key_field", "key_value", "n_left", "n_all")
 
 
 def blank_to_null(c: Column) -> Column:

@@ -5,13 +5,15 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
+from urllib.parse import urljoin, urlsplit
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediasift.functions.gates import content_type, ending, fetchable, media_content, status_class
+from mediasift.functions.gates import content_type, ending, fetchable, media_content, status_class, unsafe_text
+from mediasift.session import hadoop_path
 
 
 def media_files(spark: SparkSession, folder: str, endings: Iterable[str] = (), most_bytes: int = 100 << 20) -> DataFrame:
@@ -62,6 +64,78 @@ def fetch(requests: DataFrame, url: str, get: Callable[[str], tuple[int, str, by
     return got.withColumns({"content_type": content_type(F.col("header")), "fault": fault, "content_sha256": F.col("sha")}).drop("header", "raised", "sha")
 
 
+class UnsafeDestinationError(Exception):
+    pass
+
+
+class RedirectLimitExceededError(Exception):
+    pass
+
+
+class SizeLimitExceededError(Exception):
+    pass
+
+
+class UnsupportedSchemeError(Exception):
+    pass
+
+
+def careful(open_: Callable[[str], tuple[int, dict[str, str], Iterable[bytes]]], resolve: Callable[[str], list[str]], most_hops: int = 5, most_bytes: int = 100 << 20) -> Callable[[str], tuple[int, str, bytes]]:
+    """A getter for `fetch` from a function that opens one address (status, headers in lower case, chunks of the body) and one that resolves a host.
+
+    Redirects are followed, `most_hops` of them; before each request, the first too, the scheme must be http or https and all addresses of the host public. The body is read chunk by chunk and
+    given up as soon as it is longer than `most_bytes`, or at once if its length is announced. What goes wrong is raised under the names that `error_kind` knows."""
+
+    def get(url: str) -> tuple[int, str, bytes]:
+        for _ in range(most_hops + 1):
+            parts = urlsplit(url)
+            if parts.scheme.lower() not in ("http", "https"):
+                raise UnsupportedSchemeError(parts.scheme)
+            found = resolve(parts.hostname or "") if parts.hostname else []
+            if not found or any(unsafe_text(x) for x in found):
+                raise UnsafeDestinationError(parts.hostname)
+            status, headers, chunks = open_(url)
+            if status in (301, 302, 303, 307, 308) and headers.get("location"):
+                url = urljoin(url, headers["location"])
+                continue
+            announced = headers.get("content-length", "")
+            if announced.isdigit() and int(announced) > most_bytes:
+                raise SizeLimitExceededError(announced)
+            body = bytearray()
+            for chunk in chunks:
+                body += chunk
+                if len(body) > most_bytes:
+                    raise SizeLimitExceededError(len(body))
+            return status, headers.get("content-type", ""), bytes(body)
+        raise RedirectLimitExceededError(most_hops)
+
+    return get
+
+
+class ContentStore:
+    """Contents by their SHA-256, once each, as Parquet in a folder by the first two digits: what others look for reads one part of 256."""
+
+    SCHEMA = "content_sha256 string, content binary, shard string"
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+
+    def put(self, df: DataFrame, content: str) -> None:
+        """Contents that aren't there yet are written; null ones are left out, equal ones are one."""
+        new = df.where(F.col(content).isNotNull()).select(F.sha2(content, 256).alias("content_sha256"), F.col(content).alias("content")).dropDuplicates(["content_sha256"])
+        missing = new.join(self.all().select("content_sha256"), "content_sha256", "left_anti")
+        missing.withColumn("shard", F.substring("content_sha256", 1, 2)).write.mode("append").partitionBy("shard").parquet(self.folder)
+
+    def all(self) -> DataFrame:
+        fs, where = hadoop_path(self.spark, self.folder)
+        return self.spark.read.schema(self.SCHEMA).parquet(self.folder) if fs.exists(where) else self.spark.createDataFrame([], self.SCHEMA)
+
+    def there(self, df: DataFrame, sha: str) -> DataFrame:
+        """df with `stored`: whether the store has the content of that digest, in whatever letter case; null digests are not there."""
+        known = self.all().select(F.col("content_sha256").alias("_sha"), F.lit(True).alias("_there"))
+        return df.join(known, F.lower(F.col(sha)) == F.col("_sha"), "left").withColumn("stored", F.coalesce("_there", F.lit(False))).drop("_sha", "_there")
+
+
 class Embedder(Protocol):
     """Makes vectors of pieces of media. Loaded once per Python worker."""
 
@@ -125,8 +199,8 @@ class SegmentCache:
         entries.select("cache_key", F.lit(self.schema_version).alias("schema_version"), "segments").write.mode("append").parquet(self.folder)
 
     def get(self) -> DataFrame:
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
-        if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        fs, where = hadoop_path(self.spark, self.folder)
+        if not fs.exists(where):
             return self.spark.createDataFrame([], self.SCHEMA)
         good = self.spark.read.schema(self.SCHEMA).parquet(self.folder).where((F.col("schema_version") == self.schema_version) & (F.size("segments") > 0) & ~F.exists("segments", lambda s: F.coalesce(F.size(s["vec"]), F.lit(0)) <= 0))
         return good.dropDuplicates(["cache_key"])

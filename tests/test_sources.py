@@ -58,3 +58,43 @@ def test_timeline_frames_and_logs(spark, tmp_path):
     lines = [json.loads(r[0]) for r in spark.read.text(f"{tmp_path}/log").collect()]
     assert sorted(map(str, lines)) == ["{'a': 1}", "{'a': 2, 'b': 'x'}"]
     assert spark.createDataFrame([("redis://u:secret@h:1/0",), ("https://h/x",)], "u string").select(M.redacted(F.col("u"))).collect()[0][0] == "redis://u:***@h:1/0"
+
+
+def test_redirects_are_checked_and_bodies_cut_off():
+    import pytest
+
+    from mediasift.functions.gates import ERROR_KINDS
+
+    read = []
+
+    def body(n):
+        for _ in range(n):
+            read.append(1)
+            yield b"12345"
+
+    pages = {
+        "http://a.test/v": (302, {"location": "/w"}, []), "http://a.test/w": (301, {"location": "https://b.test/x"}, []), "https://b.test/x": (200, {"content-type": "video/mp4"}, [b"ab", b"c"]),
+        "http://a.test/in": (302, {"location": "http://inside.test/"}, []), "http://a.test/file": (302, {"location": "file:///etc/passwd"}, []), "http://a.test/loop": (307, {"location": "/loop"}, []),
+        "http://a.test/long": (200, {}, body(1000)), "http://a.test/said": (200, {"content-length": "999"}, body(1)), "http://a.test/404": (404, {}, []),
+    }
+    hosts = {"a.test": ["8.8.8.8"], "b.test": ["2001:4860:4860::8888"], "inside.test": ["8.8.8.8", "10.0.0.1"]}
+    get = M.careful(lambda u: pages[u], lambda h: hosts.get(h, []), 3, 12)
+    assert get("http://a.test/v") == (200, "video/mp4", b"abc") and get("http://a.test/404")[0] == 404
+    for url, error in (("in", "UnsafeDestinationError"), ("file", "UnsupportedSchemeError"), ("loop", "RedirectLimitExceededError"), ("long", "SizeLimitExceededError"), ("said", "SizeLimitExceededError")):
+        with pytest.raises(getattr(M, error)):
+            get(f"http://a.test/{url}")
+        assert ERROR_KINDS[error] == "permanent_acquisition_failure"
+    assert len(read) == 3  # no more than needed to tell
+    with pytest.raises(M.UnsafeDestinationError):
+        get("http://unknown.test/")
+
+
+def test_a_store_has_each_content_once(spark, tmp_path):
+    store = M.ContentStore(spark, f"file://{tmp_path}/store")
+    df = spark.createDataFrame([(bytearray(b"a"),), (bytearray(b"a"),), (bytearray(b""),), (None,)], "c binary")
+    store.put(df, "c")
+    store.put(df.union(spark.createDataFrame([(bytearray(b"b"),)], "c binary")), "c")
+    sha = {b: hashlib.sha256(b).hexdigest() for b in (b"a", b"", b"b")}
+    assert sorted(r["content_sha256"] for r in store.all().collect()) == sorted(sha.values())
+    asked = spark.createDataFrame([(sha[b"a"].upper(),), ("0" * 64,), (None,)], "sha string")
+    assert {r["sha"]: r["stored"] for r in store.there(asked, "sha").collect()} == {sha[b"a"].upper(): True, "0" * 64: False, None: False}
