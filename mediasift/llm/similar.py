@@ -58,11 +58,11 @@ class CrossPolytope:
     dim: int
     tables: int
     functions: int
-    probes: int = 6
+    probes: int = LIKELY * LIKELY
     seed: int = 11
 
     @classmethod
-    def for_recall(cls, dim: int, rows: int, cosine: float, recall: float = 0.99, functions: int | None = None) -> CrossPolytope:
+    def for_recall(cls, dim: int, rows: int, cosine: float, recall: float = 0.995, functions: int | None = None) -> CrossPolytope:
         """Three functions, or as many more as keep about 64 of evenly spread vectors a bucket (in 64 dimensions from 134 million on), and as many tables as
         find this share of the pairs that have just this cosine; of nearer ones more are found."""
         functions = functions or max(3, math.ceil(math.log(max(rows, 2) / 64) / math.log(2 * cls(dim, 1, 1).padded)))
@@ -434,7 +434,7 @@ def similar_vectors(df: DataFrame, id_column: str, vector_column: str, dim: int,
 
     Ids are unique integers; rows with a null id take no part, nor do vectors that are null, have not `dim` numbers, hold a null,
     NaN or infinity, or are zero. Vectors need no unit length. Vectors saved more than once are hashed once: each of the
-    copies has the others among its neighbours. No vectors give no rows. The search is approximate: of pairs with a cosine of just `floor` 99 percent are found, of nearer ones more.
+    copies has the others among its neighbours. No vectors give no rows. The search is approximate: of pairs with a cosine of just `floor` 99.5 percent are found, of nearer ones more.
     Many tables are needed for a low floor; without any floor `nearest_vectors` is the way. Buckets with more than `crowd` entries are searched exactly, in blocks; regions with more than
     `held` are parted first.
     """

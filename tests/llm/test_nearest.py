@@ -47,7 +47,7 @@ def test_blocks_of_any_size_and_crowds(monkeypatch, size, pairs):
 
 def test_every_usable_frame_has_ten(spark):
     folder = "/root/testdata/sf0.001"
-    rows = Q.QUERIES["p1_nearest"](spark, folder).groupBy("vec_id").count().collect()
+    rows = Q.QUERIES["p1_neighbours"](spark, folder).groupBy("vec_id").count().collect()
     v = F.col("embeddings")
     usable = spark.read.parquet(f"{folder}/index_frames.parquet").where((F.size(v) == 64) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)) & F.exists(v, lambda x: x != 0)).count()
     assert len(rows) == usable and {r["count"] for r in rows} == {10}
