@@ -48,7 +48,7 @@ def q_fused_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = duration_similarity(F.col("cl"), F.col("tl"))
     stages = stage_scores(F.col("video"), F.col("audio"), F.col("video_s"), F.col("audio_s"), lengths, F.lit(0.0), F.lit(0.0), 1.0)
     score = weighted_score({k: (v, STAGES[k]) for k, v in stages.items()})
-    return _round(x.select(*PAIR, lengths.alias("length_similarity"), stages["temporal"].alias("temporal"), score.alias("score")))
+    return _round(x.select(*PAIR, lengths.alias("length_similarity"), stages["temporal"].alias("temporal"), F.round(score, 9).alias("score")))  # to 9 places first: halves of the sixth are decided by the last bit else
 
 
 QUERIES = {"stream_parse": q_stream_parse, "stream_counts": q_stream_counts, "fused_scores": q_fused_scores}
