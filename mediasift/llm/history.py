@@ -17,10 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediasift.llm.ring_graph import RingGraph, Shards
-from mediasift.session import cut, hadoop_path, remove, scratch, width
+from mediasift.session import cut, hadoop_path, lanes, remove, scratch, width
 
 SALTS = 16
 NO_BATCH = 2**31 - 1
+#: A part of a history is to hold so many keys, about 80 bytes each and 350 while it is linked.
+PART_KEYS = 500_000
 
 
 def digests(df: DataFrame, keys: Mapping[str, Column], carry: list[str]) -> DataFrame:
@@ -44,8 +46,9 @@ def replay(records: DataFrame, keys: Mapping[str, Column], record: str, order: s
     arrived = scratch(spark, "arrived")
     searched = keyed.groupBy("h", "g", "batch").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
     searched.write.partitionBy("batch").parquet(arrived)
-    history = MediaHistory(spark, scratch(spark, "history"), parts or width(spark))
-    for number in sorted(r[0] for r in keyed.select("batch").distinct().collect()):  # as many as there are batches
+    sizes = dict(map(tuple, keyed.groupBy("batch").count().collect()))  # as many as there are batches
+    history = MediaHistory(spark, scratch(spark, "history"), parts or lanes(spark, sum(sizes.values()), PART_KEYS))
+    for number in sorted(sizes):
         history.run(spark.read.schema("h long, g long, id long, n long").parquet(f"{arrived}/batch={number}"), number)
     found = history.hits().groupBy("h", "g").agg(F.min("first").alias("first"))
     salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import io
+import math
 import shutil
 import tempfile
 import uuid
@@ -86,3 +87,9 @@ def cut(df: DataFrame) -> DataFrame:
 def width(spark: SparkSession) -> int:
     """How many partitions a shuffle has in this session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def lanes(spark: SparkSession, amount: float, each: float) -> int:
+    """Tasks for steps that run again and again over a little: one per `each` of the `amount`, but one a core at least and no more than `width`. The width is that of a pass over whole tables: as
+    each task costs something however little it gets, it would make every step dearer with the size of the whole."""
+    return max(1, min(width(spark), max(spark.sparkContext.defaultParallelism, math.ceil(amount / each))))

@@ -88,6 +88,22 @@ def test_replay_equals_brute_force(spark):
     assert replay(df.withColumn("b", F.lit(None).cast("int")), {"url": F.col("url")}, "name", "seq", "b").count() > 0
 
 
+def test_the_width_of_the_session_adds_no_tasks_to_a_batch(spark, monkeypatch):
+    made, init = [], MediaHistory.__init__
+    monkeypatch.setattr(MediaHistory, "__init__", lambda self, *a, **k: (init(self, *a, **k), made.append(self))[0])
+    df = spark.createDataFrame(_records(random.Random(9), 100), "name string, seq long, b int, url string, ev string")
+    cores, width = spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for wide in (3, 50 * cores):
+            spark.conf.set("spark.sql.shuffle.partitions", wide)
+            found.append(sorted(map(tuple, replay(df, {"url": F.col("url"), "ev": F.col("ev")}, "name", "seq", "b").collect())))
+            assert made[-1].parts == min(wide, cores)  # two hundred keys need no more
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+    assert found[0] == found[1] and found[0]
+
+
 def test_batches_against_a_saved_history(spark, tmp_path):
     rng = random.Random(1)
     history, truth = MediaHistory(spark, f"file://{tmp_path}/history", 3), {}
