@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mediasift.operators.eager_aggregation import blank_to_null, domain, eager_join_aggregate, filled, heavy_keys
 from mediasift.session import scratch, table
-from mediasift.streaming.dedup import drop_redelivered, dropped, stream_of
+from mediasift.streaming.dedup import bytes_of, drop_redelivered, dropped, stream_of
 
 
 def fields() -> dict[str, Column]:
@@ -81,7 +81,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     started = []
     for name, keys in messages.items():
         folder = scratch(spark, f"dedup-{name}")
-        started.append((name, folder, drop_redelivered(stream_of(spark, f"{sf_dir}/{name}.parquet"), keys, "delivery_id", "received_at", folder)))
+        path = f"{sf_dir}/{name}.parquet"
+        started.append((name, folder, drop_redelivered(stream_of(spark, path), keys, "delivery_id", "received_at", folder, expected=bytes_of(spark, path))))
     parts = []
     for name, folder, query in started:
         query.awaitTermination()

@@ -9,6 +9,7 @@ generation beside it. Identifiers new to the state are tested by these filters,
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -19,13 +20,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from mediasift.session import cut, hadoop_path, remove, width
+from mediasift.session import cut, hadoop_path, lanes, remove, width
 
 ENTRY = np.dtype([("h", "<i8"), ("g", "<i8"), ("id", "<i8"), ("at", "<i8")])
 OUT = "kind string, id long, h long, g long"
 BLOOM_BITS, BLOOM_HASHES = 12, 6
 #: So many generations of the archive become one.
 FAN_IN = 4
+#: A task of a micro-batch and a part of the archive are to get so many bytes of the stream's files; a task besides so many of all that is expected, for the state. Fewer rows than FEW are sent to all tasks.
+TASK_BYTES, PART_BYTES, ALL_BYTES, FEW = 16e6, 128e6, 512e6, 200_000
+WIDTH = "spark.sql.shuffle.partitions"
 
 
 def digest(keys: Sequence[Column]) -> tuple[Column, Column]:
@@ -139,8 +143,8 @@ class Archive:
 
     ROWS, FILTERS = "h long, g long, id long, part int", "part int, bits binary"
 
-    def __init__(self, spark: SparkSession, folder: str, parts: int) -> None:
-        self.spark, self.folder, self.parts = spark, folder, parts
+    def __init__(self, spark: SparkSession, folder: str, parts: int, tasks: int | None = None) -> None:
+        self.spark, self.folder, self.parts, self.tasks = spark, folder, parts, tasks or parts
 
     def part(self) -> Column:
         return F.pmod(F.col("h"), F.lit(self.parts)).cast("int")
@@ -160,7 +164,7 @@ class Archive:
 
     def add(self, rows: DataFrame, lo: int, hi: int) -> None:
         """A generation: its rows (`h`, `g`, `id`) by part, then its filters; it counts once these are complete."""
-        placed = rows.withColumn("part", self.part()).repartition(self.parts, "part").sortWithinPartitions("part", "h")
+        placed = rows.withColumn("part", self.part()).repartition(self.tasks, "part").sortWithinPartitions("part", "h")
         placed.write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/archive/{lo}_{hi}")
 
         def packed(rows: pd.DataFrame) -> pd.DataFrame:
@@ -195,13 +199,13 @@ class Archive:
 
         parted = asked.select("h", "g", "id").withColumn("part", self.part())
         tested = cut(parted.groupBy("part").cogroup(self._read("filters", self.FILTERS, spans).groupBy("part")).applyInPandas(passing, "h long, g long, id long, part int"))
-        touched = [r[0] for r in tested.select("part").distinct().collect()]  # at most as many as there are parts
-        there = self._read("archive", self.ROWS, spans).where(F.col("part").isin(touched))
-        first = there.groupBy("part", "h", "g").agg(F.min("id").alias("first"))
-        return tested.join(first, ["part", "h", "g"]).select("id", "first")
+        touched = dict(map(tuple, tested.groupBy("part").count().collect()))  # at most as many as there are parts
+        there = self._read("archive", self.ROWS, spans).where(F.col("part").isin([*touched])).select("h", "g", F.col("id").alias("first"))
+        few = sum(touched.values()) <= FEW  # so the archive isn't shuffled
+        return there.join(F.broadcast(tested) if few else tested, ["h", "g"]).groupBy("id").agg(F.min("first").alias("first"))
 
 
-def resolve(judged: DataFrame, batch: int, out: str, parts: int) -> None:
+def resolve(judged: DataFrame, batch: int, out: str, parts: int, tasks: int | None = None) -> None:
     """Sink of one micro-batch: its rows in one folder, then the answers of the archive to what is new, then what expired into the archive."""
     spark = judged.sparkSession
     where = f"{out}/judged/batch={batch}"
@@ -209,7 +213,7 @@ def resolve(judged: DataFrame, batch: int, out: str, parts: int) -> None:
     fs, _ = hadoop_path(spark, where)
     there = {k for k in ("ask", "archive") if fs.exists(hadoop_path(spark, f"{where}/kind={k}")[1])}
     mine = lambda k: spark.read.schema("id long, h long, g long").parquet(f"{where}/kind={k}")
-    archive = Archive(spark, out, parts)
+    archive = Archive(spark, out, parts, tasks)
     if "ask" in there:
         archive.compact(batch)
         found = archive.find(mine("ask"), batch)
@@ -228,6 +232,7 @@ def drop_redelivered(
     folder: str,
     delay: str = "1 day",
     buckets: int | None = None,
+    expected: tuple[float, float] = (0, 0),
 ) -> StreamingQuery:
     """Start the query; it ends when all input that is there by now is read. `dropped` reads its result.
 
@@ -238,16 +243,37 @@ def drop_redelivered(
     are: within `delay` of event time in the state, beyond it by the lookup. Other columns are never read. An empty
     stream drops nothing.
 
-    `folder` holds checkpoint and output; starting again with the same folder goes on where the last run ended.
+    `folder` holds checkpoint and output; starting again with the same folder goes on where the last run ended, in the same number of tasks, buckets and parts.
+    `expected` says how many bytes the stream and a micro-batch have (`bytes_of`). A micro-batch gets tasks by these and the cores: the session's width, which is that of a pass over the whole table, would
+    make each micro-batch dearer with the size of the table.
     """
-    n = buckets or 4 * width(stream.sparkSession)
-    return (
-        judge(stream, keys, order, event_time, delay, n)
-        .writeStream.foreachBatch(lambda df, batch: resolve(df, batch, folder, width(stream.sparkSession)))
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
+    spark = stream.sparkSession
+    tasks = lanes(spark, max(expected[1], expected[0] * TASK_BYTES / ALL_BYTES), TASK_BYTES)
+    tasks, n, parts = _kept(spark, f"{folder}/sizes", [tasks, buckets or 4 * tasks, lanes(spark, expected[0], PART_BYTES) if expected[0] else width(spark)])
+    query = judge(stream, keys, order, event_time, delay, n).writeStream.foreachBatch(lambda df, batch: resolve(df, batch, folder, parts, tasks))
+    wide = spark.conf.get(WIDTH)
+    spark.conf.set(WIDTH, tasks)  # a query has a copy of the session's settings, taken as it starts
+    try:
+        return query.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(WIDTH, wide)
+
+
+def _kept(spark: SparkSession, where: str, numbers: list[int]) -> list[int]:
+    """What the folder's first run wrote there, or these numbers, written there now."""
+    fs, path = hadoop_path(spark, where)
+    if fs.exists(path):
+        stream = fs.open(path)
+        try:
+            return json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
+    out = fs.create(path, True)
+    try:
+        out.write(json.dumps(numbers).encode())
+    finally:
+        out.close()
+    return numbers
 
 
 def dropped(spark: SparkSession, folder: str) -> DataFrame:
@@ -270,3 +296,10 @@ def stream_of(spark: SparkSession, path: str, files_per_batch: int = 4) -> DataF
         folder, _, name = path.rpartition("/")
         return reader.option("pathGlobFilter", name).parquet(folder)
     return reader.parquet(path)
+
+
+def bytes_of(spark: SparkSession, path: str, files_per_batch: int = 4) -> tuple[float, float]:
+    """Of a table that is streamed by so many files: its bytes, and those of a micro-batch."""
+    fs, where = hadoop_path(spark, path)
+    all_ = fs.getContentSummary(where)
+    return all_.getLength(), all_.getLength() * min(1, files_per_batch / max(1, all_.getFileCount()))

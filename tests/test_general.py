@@ -140,6 +140,33 @@ def test_a_long_stream_keeps_state_and_archive_in_bounds(spark, tmp_path):
     assert sum(moved.values()) > 14 * 20 and max(moved.values()) <= 80  # what came is gone two days later
 
 
+def test_the_width_of_the_session_adds_no_tasks_to_a_micro_batch(spark, tmp_path):
+    import datetime
+
+    day, cores, width = datetime.datetime(2026, 1, 1), spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.shuffle.partitions")
+    # 0 and 1 are archived when 7 and 8 come
+    rows = [[("a", 0, day, "x"), ("b", 1, day, "x")], [("c", 2, day + datetime.timedelta(days=5), "x")], [("d", 3, day + datetime.timedelta(days=5), "x")], [("a", 7, day + datetime.timedelta(days=9), "x")]]
+    _deliveries(spark, str(tmp_path), rows)
+    _deliveries(spark, str(tmp_path / "more"), [[("b", 8, day + datetime.timedelta(days=9), "x"), ("c", 9, day + datetime.timedelta(days=9), "x")]])
+
+    def run():
+        stream = spark.readStream.schema("k string, id long, at timestamp, note string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        drop_redelivered(stream, [F.col("k")], "id", "at", f"file://{tmp_path}/out", "1 day").awaitTermination()
+        return {r["id"] for r in dropped(spark, f"file://{tmp_path}/out").collect()}
+
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 5 * cores)
+        assert run() == {7} and spark.conf.get("spark.sql.shuffle.partitions") == str(5 * cores)
+        state = [f.name for f in (tmp_path / "out/checkpoint/state/0").iterdir() if f.name.isdigit()]
+        assert len(state) == cores and len(list((tmp_path / "out/archive/2_2").glob("part=*"))) <= cores
+        # goes on in a narrower session: what was archived and what is live is found in its old place
+        spark.conf.set("spark.sql.shuffle.partitions", 2)
+        (tmp_path / "more/in/000.parquet").rename(tmp_path / "in/999.parquet")
+        assert run() == {7, 8, 9}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+
+
 def test_an_empty_stream_drops_nothing(spark, tmp_path):
     spark.createDataFrame([], "k string, id long, at timestamp").write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("k string, id long, at timestamp").parquet(f"{tmp_path}/in")
