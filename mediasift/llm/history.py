@@ -50,6 +50,8 @@ def replay(records: DataFrame, keys: Mapping[str, Column], record: str, order: s
     history = MediaHistory(spark, scratch(spark, "history"), parts or lanes(spark, sum(sizes.values()), PART_KEYS))
     for number in sorted(sizes):
         history.run(spark.read.schema("h long, g long, id long, n long").parquet(f"{arrived}/batch={number}"), number)
+    for where in (arrived, f"{history.folder}/shards"):  # only the hits are read from here on
+        remove(spark, where)
     found = history.hits().groupBy("h", "g").agg(F.min("first").alias("first"))
     salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     members = cut(keyed.withColumn("salt", F.pmod("id", F.lit(SALTS)).cast("int")).join(salted, ["h", "g", "salt"]).select("h", "g", "salt", "record", "id", "first"))
